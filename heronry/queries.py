@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronry.functions.timestamps import normalise
-from heronry.operators import dedupe, flatten, temporal
+from heronry.operators import dedupe, drift, flatten, temporal
 from heronry.session import table
 
 HYBRID = "compact_hybrid_controlled_agent"
@@ -54,5 +54,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return flatten.ids_table(_hybrid(spark, d), ["delivery_id"]).select("delivery_id", "call_no", "id_no", "tool", "query_text", "paper_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every change of a result file's fields against the preceding file of its stream."""
+    return drift.changes(table(spark, d, "raw_records"), table(spark, d, "result_files"))
+
+
+def p5_table(spark: SparkSession, d: str) -> DataFrame:
+    """All result records in one consistent table."""
+    records, files = table(spark, d, "raw_records"), table(spark, d, "result_files")
+    return drift.unified(records, files, drift.changes(records, files))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p5_table)}
 ORACLE: dict[str, str] = {}
