@@ -20,6 +20,8 @@ import zoneinfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heronry.session import tune
+
 #: English month names in order, and the abbreviations of the zones that the feeds name.
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 ABBREVIATIONS = {
@@ -132,6 +134,7 @@ def normalise(df: DataFrame, value: str, source: str, sources: DataFrame, zone_c
     known = sources.select(
         F.col(source).alias("_t_src"), F.col(zone_col).alias("_t_tz"), F.lower(F.col(order_col)).alias("_t_order")
     ).dropDuplicates(["_t_src"])
+    tune(df.sparkSession)
     keep = df.columns
     fields = read_fields(df, value)
     weights = mixture_weights(fields, source).select(F.col(source).alias("_t_wsrc"), "w_dmy")

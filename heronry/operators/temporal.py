@@ -17,11 +17,15 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heronry.session import tune
+
 LEAF, STRIDE, TOP = 40, 3, 55
 LEVELS = tuple(range(LEAF, TOP, STRIDE))
 #: Moves the axis so that 1684 to 2255 is the tree; instants outside share its outermost leaves and are told apart by the exact test.
 ORIGIN = 1 << 53
 FOREVER = (1 << 63) - 1
+#: Keeps the row of an event that no interval holds.
+NO_NODE = -1
 SALTS = 8
 
 
@@ -36,7 +40,7 @@ def _node(level: int, index: Column) -> Column:
 
 def enclosing_nodes(us: Column) -> Column:
     """Array of the nodes that enclose an instant, one per level."""
-    return F.array(*[_node(k, F.shiftright(_leaf(us), (b - LEAF))) for k, b in enumerate(LEVELS)])
+    return F.when(us.isNull(), F.array().cast("array<bigint>")).otherwise(F.array(*[_node(k, F.shiftright(_leaf(us), (b - LEAF))) for k, b in enumerate(LEVELS)]))
 
 
 def covering_nodes(start: Column, end: Column) -> Column:
@@ -90,8 +94,10 @@ def as_of_join(events: DataFrame, intervals: DataFrame, entity: str, at: str, ke
     entity or instant come out with a null attribute.
     """
     names = [*keys, entity, at]
+    # Both sides are laid out by (entity, part) on purpose, and the planner is to take that for the join on (entity, part, node) too.
+    tune(events.sparkSession)
     left = events.select(*names).withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int"))
-    left = left.repartition(entity, "_salt").withColumn("_node", F.explode_outer(enclosing_nodes(F.col(at))))
+    left = left.repartition(entity, "_salt").withColumn("_node", F.explode(F.concat(F.array(F.lit(NO_NODE)), enclosing_nodes(F.col(at)))))
     right = (
         intervals.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         .repartition("entity", "_salt_r")
@@ -103,5 +109,5 @@ def as_of_join(events: DataFrame, intervals: DataFrame, entity: str, at: str, ke
         "left",
     )
     inside = (F.col("valid_from") <= F.col(at)) & (F.col(at) < F.col("valid_to"))
-    best = F.max(F.when(inside, F.struct("valid_from", "attribute")))
-    return met.groupBy(entity, "_salt", *keys, at).agg(best.alias("_best")).select(*names, F.col("_best.attribute").alias("attribute"))
+    best = F.max(F.when(F.col("valid_from").isNotNull(), F.struct("valid_from", "attribute")))
+    return met.filter(inside | (F.col("_node") == NO_NODE)).groupBy(entity, "_salt", *keys, at).agg(best.alias("_best")).select(*names, F.col("_best.attribute").alias("attribute"))

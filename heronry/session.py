@@ -9,9 +9,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Planner settings the library's plans rely on; all are a session's to change and none changes a result.
+SETTINGS = {
+    # Generated methods beyond this many bytes are never compiled by HotSpot; wide expressions are split instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Where both sides of a join are laid out by some of its keys on purpose, that layout serves the join.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    for k, v in SETTINGS.items():
+        if spark.conf.get(k) != v:
+            spark.conf.set(k, v)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder (a Parquet file or a folder of part files)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return tune(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
