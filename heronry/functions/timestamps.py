@@ -20,7 +20,7 @@ import zoneinfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heronry.session import tune
+from heronry.session import settled, tune
 
 #: English month names in order, and the abbreviations of the zones that the feeds name.
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
@@ -96,7 +96,8 @@ def read_fields(df: DataFrame, value: str, prefix: str = "_t_") -> DataFrame:
         .alias(prefix + "zone"),
     )
     wall = lambda c: F.when(~p(c).startswith("0000"), F.unix_micros(F.concat(p(c), p("clock")).try_cast("timestamp"))).alias(prefix + {"c1": "one", "c2": "dmy", "c3": "mdy"}[c])
-    return df.select(*[c for c in df.columns if c not in (prefix + "f", prefix + "v")], wall("c1"), wall("c2"), wall("c3"))
+    own = [prefix + n for n in ("v", "f", "clock", "c1", "c2", "c3", "epoch", "zone")]
+    return settled(df, [c for c in df.columns if c not in own], [p("epoch"), p("zone"), wall("c1"), wall("c2"), wall("c3")])
 
 
 def mixture_weights(fields: DataFrame, source: str, prefix: str = "_t_") -> DataFrame:
@@ -159,9 +160,5 @@ def normalise(df: DataFrame, value: str, source: str, sources: DataFrame, zone_c
     out = out.withColumn("_t_utc", F.coalesce(p("epoch"), F.when(p("wall").isNotNull() & p("at").isNotNull(), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(p("wall")), p("at"))))))
     state = F.when(p("utc").isNull() & p("wall").isNotNull(), F.when(p("zone") == "", "no_zone").otherwise("unreadable")).otherwise(p("reading"))
     both = p("dmy").isNotNull() & p("mdy").isNotNull()
-    return out.select(
-        *[F.col(f"`{c}`") for c in keep],
-        p("utc").alias("utc_us"),
-        state.alias("reading"),
-        F.when(p("utc").isNotNull(), F.when(both & (p("epoch").isNull()), F.greatest(p("w"), 1 - p("w"))).otherwise(1.0)).alias("posterior"),
-    )
+    certain = F.when(p("utc").isNotNull(), F.when(both & (p("epoch").isNull()), F.greatest(p("w"), 1 - p("w"))).otherwise(1.0))
+    return settled(out, keep, [p("utc").alias("utc_us"), state.alias("reading"), certain.alias("posterior")])

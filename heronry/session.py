@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Planner settings the library's plans rely on; all are a session's to change and none changes a result.
@@ -30,6 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def settled(df: DataFrame, keep: list[str], derived: list[Column]) -> DataFrame:
+    """``keep`` and the derived columns, each worked out once per row.
+
+    A filter on a derived column is otherwise pushed below its projection with the whole expression in it, once per
+    mention; through a chain of projections that multiplies. Predicates stay above a generator's output.
+    """
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(F.struct(*derived))))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, as the cluster names it in ``spark.checkpoint.dir``.
 
