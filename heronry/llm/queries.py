@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.llm import bpe, truncation
+from heronry.llm import bpe, contamination, truncation
 from heronry.session import table
 
 #: Folder of the public tokenizers' files.
@@ -19,6 +19,11 @@ def p6_ids(spark: SparkSession, d: str, tokenizers: str = TOKENIZERS) -> DataFra
     return bpe.encode_column(table(spark, d, "documents"), "doc_id", "text", f"{tokenizers}/byte_bpe_50k.json")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold passages of evaluation items, with the items."""
+    return contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose text breaks off."""
     return truncation.truncated(table(spark, d, "documents"), "doc_id", "text", "source").select("doc_id", "source")
@@ -35,5 +40,5 @@ def p8_limits(spark: SparkSession, d: str) -> DataFrame:
     return found.select("source", "unit", "length", "n_ended", "n_reached", F.round("hazard", 6).alias("hazard"), F.round("expected", 6).alias("expected"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p8_found, p8_rates, p8_limits)}
+QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p8_found, p8_rates, p8_limits)}
 ORACLE: dict[str, str] = {}
