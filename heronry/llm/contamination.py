@@ -51,7 +51,9 @@ _STYLE = re.compile(r"\\(?:emph|underline|mbox|textit|textbf|textsc|texttt|textr
 _BROKEN = re.compile(r"(?<=\w)-[ \t]*\r?\n[ \t]*(?:>[ \t]*)*(?=\w)")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})")
-_INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x180E])
+_INVISIBLE = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff\u180e]+")
+#: Combining marks that accents are decomposed to.
+_ACCENT = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 
 
 def plain(text: str) -> str:
@@ -66,8 +68,7 @@ def plain(text: str) -> str:
     if "<" in t:
         t = _BLOCK_TAG.sub(" ", _TAG.sub("", t))
     if not t.isascii():
-        t = unicodedata.normalize("NFKD", t.translate(_INVISIBLE))
-        t = "".join(c for c in t if not unicodedata.combining(c)) if not t.isascii() else t
+        t = _ACCENT.sub("", unicodedata.normalize("NFKD", _INVISIBLE.sub("", t)))
     if "-\n" in t or "- \n" in t or "-\r" in t:
         t = _BROKEN.sub("", t)
     if "\\" in t:
