@@ -65,5 +65,7 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified(records, files, drift.changes(records, files))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p5_table)}
-ORACLE: dict[str, str] = {}
+from heronry.plans import audit, functions, graph, relational, retrieval, sources  # noqa: E402,F401  (each registers its queries)
+from heronry.plans.registry import ORACLE, QUERIES as _PLANS  # noqa: E402
+
+QUERIES = {**{f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p5_table)}, **_PLANS}
