@@ -10,10 +10,12 @@ from pyspark.sql import types as T
 #: Timestamps are written and read to the microsecond.
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
+CSV = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\n"}
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """JSON lines under a schema; blank lines are skipped, a bad line fails the read. ``path`` may be a glob."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").option("timestampFormat", MICROS).json(path)
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("timestampFormat", MICROS).option("timestampNTZFormat", MICROS).json(path)
 
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str | T.StructType, bad: str = "_corrupt_record") -> DataFrame:
@@ -24,7 +26,8 @@ def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str | T.StructTy
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    """CSV with a header under a schema; quoted line breaks and blanks at the ends of values are kept."""
+    return spark.read.schema(schema).options(header=True, multiLine=True, **CSV).csv(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -51,12 +54,12 @@ def read_jdbc(spark: SparkSession, url: str, query: str, key: str, lower: int, u
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("timestampFormat", MICROS).json(path)
+    df.write.mode("overwrite").option("timestampFormat", MICROS).option("timestampNTZFormat", MICROS).json(path)
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """CSV with a header; columns that are not asked for are left out."""
-    (df.select(*columns) if columns else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (df.select(*columns) if columns else df).write.mode("overwrite").options(header=True, quoteAll=True, **CSV).csv(path)
 
 
 def append_missing(df: DataFrame, path: str, keys: list[str]) -> None:
