@@ -1,7 +1,7 @@
 """Evaluation texts leaking into training text, by latent semantic retrieval.
 
 1. Statistics over the whole corpus: in how many documents each word of the evaluation texts stands, and in how many
-   different texts each of their word sequences does. Sequences common to many texts are stock phrases.
+   different texts each of their word sequences does. Sequences common to several items and many texts are stock phrases.
 2. The evaluation texts, without stock phrases, are cut into passages of WINDOW words; their TF-IDF matrix is
    factorised by a distributed randomised SVD (subspace iteration whose products are summed over partitions).
 3. Every document is cut into passages likewise, each projected to the latent space and compared by cosine with all
@@ -35,8 +35,8 @@ WINDOW, HALF, STEP = 24, 12, 8
 RANK, OVERSAMPLING, ROUNDS, SEED = 96, 16, 3, 20_240_601
 #: Cosine from which passages are candidates.
 COSINE = 0.7
-#: Words of a stock sequence, and the share of different texts (and their number at least) from which it is one.
-GRAM, STOCK_SHARE, STOCK_LEAST = 6, 0.01, 5
+#: Words of a stock sequence; the items, the share of different texts and their number from which it is one.
+GRAM, STOCK_ITEMS, STOCK_SHARE, STOCK_LEAST = 6, 2, 0.01, 5
 #: Longest common subsequence that a passage of a document must have with the item before the two are compared in full.
 COMMON = 11
 #: A leak: common words in order, their share of the item's span, and the words that edits may replace in one place.
@@ -89,8 +89,10 @@ class Vocabulary:
         self.size = len(self.number)
         rng = np.random.default_rng(SEED)
         self.odd = rng.integers(1, 2**63, GRAM, dtype=np.uint64) | np.uint64(1)
-        grams = [self.grams(self.ids(ws)) for ws in texts.values()]
-        self.known = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
+        #: Sequences of at least STOCK_ITEMS items: what only one item has is no stock, however many texts it leaked to.
+        each = [np.unique(self.grams(self.ids(ws))) for ws in texts.values()]
+        grams, n = np.unique(np.concatenate(each), return_counts=True) if each else (np.zeros(0, np.uint64), np.zeros(0, int))
+        self.known = grams[n >= STOCK_ITEMS]
         self.stock = np.zeros(0, np.uint64)
         self.idf = np.ones(self.size, np.float32)
 

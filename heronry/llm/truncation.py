@@ -78,7 +78,7 @@ def with_ending(df: DataFrame, text: str) -> DataFrame:
         .when(b.rlike(_STOP), F.when(b.rlike(_ABBREVIATION), "open").otherwise("closed"))
         .when(b.rlike(_CLOSED_BLOCK) | (record.isNotNull() & b.rlike(r"[}\]]$")), "closed")
         .when(line.startswith("|"), F.when(line.rlike(r".\|$"), "closed").otherwise("open"))
-        .when(line.rlike(_OPEN_LINE), "open")
+        .when((F.col("_mark") > 0) | line.rlike(_OPEN_LINE), "open")
         .when(line.rlike(_WEAK) | one_line, "weak")
         .otherwise("open")
     )
