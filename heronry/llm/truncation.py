@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heronry.session import settled, tune
+from heronry.session import materialise, settled, tune
 
 #: Lengths on either side that a length is tested against, the false-discovery rate, and texts a limit needs at least.
 NEIGHBOURS = 25
@@ -149,7 +149,7 @@ def truncated(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """
     docs = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"))
     found = measured(docs, "key", "text", "source")
-    lim = limits(docs, "text", "source")
+    lim = materialise(limits(docs, "text", "source"))  # a few rows per source, wanted twice
     at = lambda unit: lim.filter(F.col("unit") == unit).select(F.col("source").alias(f"_{unit}_s"), F.col("length").alias(f"_{unit}_l"))
     for unit in ("chars", "bytes"):
         found = found.join(at(unit), F.col("source").eqNullSafe(F.col(f"_{unit}_s")) & (F.col(unit) == F.col(f"_{unit}_l")), "left")
