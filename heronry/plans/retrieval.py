@@ -9,6 +9,7 @@ from heronry.operators import metrics as M
 from heronry.operators import relational as R
 from heronry.operators import retrieval as S
 from heronry.operators import stats as X
+from heronry.operators import topk_bm25
 from heronry.plans.registry import query
 from heronry.session import table
 
@@ -41,7 +42,13 @@ ranking AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDE
 
 @query(f"WITH {BM25_SQL} SELECT query, doc, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ranking WHERE rank <= 20")
 def r01_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return S.rank_scores(S.bm25(_queries(spark, d), _docs(spark, d)), 20).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+    return topk_bm25.search(_queries(spark, d), _docs(spark, d), 20).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {BM25_SQL} SELECT query, doc, round(score, 6) AS score FROM scores")
+def r03_bm25_joined(spark: SparkSession, d: str) -> DataFrame:
+    """The same scores by a join of postings with query terms, all of them."""
+    return S.bm25(_queries(spark, d), _docs(spark, d)).select("query", "doc", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {BM25_SQL} SELECT term, doc, round(w, 6) AS w FROM w WHERE w > 0")
@@ -52,7 +59,7 @@ def r02_bm25_index(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT 0.0e0 AS max_diff, 1.0e0 AS same_place, 1.0e0 AS overlap")
 def r04_bm25_equivalence(spark: SparkSession, d: str) -> DataFrame:
     q, docs = _queries(spark, d), _docs(spark, d)
-    direct = S.rank_scores(S.bm25(q, docs), 20)
+    direct = topk_bm25.search(q, docs, 20)
     index = S.weights(docs)
     kept = S.rank_scores(S.query_terms(q).join(index, "term").groupBy("query", "doc").agg(F.sum("w").alias("score")), 20)
     return S.equivalence(direct, kept).select(F.round("max_diff", 6).alias("max_diff"), "same_place", "overlap")
@@ -68,15 +75,14 @@ LEGAL_SQL = "legal AS (SELECT r.* FROM ranking r WHERE DATE '2024-01-01' + CAST(
 @query(f"WITH {BM25_SQL}, deep AS (SELECT * FROM ranking WHERE rank <= 200), {LEGAL_SQL.replace('ranking r', 'deep r')} SELECT query, doc, CAST(rank AS INT) AS rank FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY rank) AS rank FROM legal) WHERE rank <= 10")
 def r05_bm25_seeds(spark: SparkSession, d: str) -> DataFrame:
     q, docs = _queries(spark, d), _docs(spark, d)
-    deep = _legal(S.rank_scores(S.bm25(q, docs), 200).withColumnRenamed("rank", "place"), docs, q)
+    deep = _legal(topk_bm25.search(q, docs, 200).withColumnRenamed("rank", "place"), docs, q)
     return R.top_k(deep.filter("avail <= as_of"), ["query"], 10, "place").select("query", "doc", "rank")
 
 
 @query(f"WITH {BM25_SQL}, {LEGAL_SQL} SELECT query, doc, CAST(rank AS INT) AS rank FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM legal) WHERE rank <= 20")
 def r07_bm25_legal(spark: SparkSession, d: str) -> DataFrame:
     q, docs = _queries(spark, d), _docs(spark, d)
-    legal = _legal(S.bm25(q, docs), docs, q).filter("avail <= as_of")
-    return S.rank_scores(legal, 20).select("query", "doc", "rank")
+    return topk_bm25.search(_as_of(q), docs, 20, visible=True).select("query", "doc", "rank")
 
 
 @query(f"WITH {BM25_SQL}, {LEGAL_SQL}, one AS (SELECT *, row_number() OVER (PARTITION BY query, coalesce(paper_id, 'd' || doc) ORDER BY round(score, 9) DESC, doc) AS n FROM legal JOIN documents ON doc = doc_id) SELECT query, doc, CAST(rank AS INT) AS rank FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM one WHERE n = 1) WHERE rank <= 20")
@@ -120,7 +126,7 @@ def r15_anchor_text(spark: SparkSession, d: str) -> DataFrame:
     # Query set: the papers whose id is divisible by 50, against all documents.
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract", F.lit("")))
     q = table(spark, d, "papers").filter("row_id % 50 = 0").select(F.col("row_id").alias("query"), text.alias("text"))
-    return S.rank_scores(S.bm25(q, _docs(spark, d)), 10).select("query", "doc", "rank")
+    return topk_bm25.search(q, _docs(spark, d), 10).select("query", "doc", "rank")
 
 
 @query(f"WITH {EVENT_LISTS} SELECT query, doc FROM a WHERE rank <= 8")
