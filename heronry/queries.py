@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from heronry.functions.timestamps import normalise
 from heronry.operators import dedupe, drift, flatten, temporal
+from heronry.plans import audit, functions, graph, relational, retrieval, sources  # noqa: F401  (each registers its queries)
+from heronry.plans.registry import ORACLE as _SQL
+from heronry.plans.registry import QUERIES as _PLANS
 from heronry.session import table
 
 HYBRID = "compact_hybrid_controlled_agent"
@@ -65,7 +68,48 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified(records, files, drift.changes(records, files))
 
 
-from heronry.plans import audit, functions, graph, relational, retrieval, sources  # noqa: E402,F401  (each registers its queries)
-from heronry.plans.registry import ORACLE, QUERIES as _PLANS  # noqa: E402
+def p3_new_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries of the last batch that a store of all earlier batches takes in."""
+    e = table(spark, d, "episodes").select("delivery_id", "batch_no", "received_at", *MESSAGE)
+    last = e.agg(F.max("batch_no").alias("last"))  # one row
+    marked = e.crossJoin(F.broadcast(last))
+    new, old = marked.filter("batch_no = last"), marked.filter("batch_no < last")
+    return dedupe.admit(new, old.select(*dedupe.identity(old, MESSAGE)).distinct(), MESSAGE, "received_at", "delivery_id").select("delivery_id")
 
-QUERIES = {**{f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p5_table)}, **_PLANS}
+
+def p4_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Tool calls of the compact hybrid agent, the table above the returned ids."""
+    return flatten.calls_table(_hybrid(spark, d), ["delivery_id"])
+
+
+def p2_readings(spark: SparkSession, d: str) -> DataFrame:
+    """How the notations of each feed were read, unresolved ambiguity included."""
+    read = normalise(table(spark, d, "temporal_objects").select("rec_id", "available_at", "feed"), "available_at", "feed", table(spark, d, "feeds"))
+    return read.groupBy("feed", "reading").agg(F.count("*").alias("n"))
+
+
+def p5_lifespans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of files in which each stream's field has a type."""
+    return drift.islands(drift.catalogue(drift.fields(table(spark, d, "raw_records")), drift.file_order(table(spark, d, "result_files"))))
+
+
+_IDS = ", ".join(f"lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')) AS {c}" for c in MESSAGE)
+_SAME = " AND ".join(f"s.{c} IS NOT DISTINCT FROM n.{c}" for c in MESSAGE)
+_CALLS = f"""good AS (SELECT delivery_id, body FROM episodes WHERE condition = '{HYBRID}' AND json_valid(coalesce(body, ''))),
+turned AS (SELECT delivery_id, 0 AS turn, json_extract(body, '$.tool_calls') AS tc FROM good UNION ALL SELECT delivery_id, CAST(t.i AS BIGINT), json_extract(body, '$.turns[' || t.i || '].tool_calls') FROM good, range(0, 64) t(i) WHERE t.i < coalesce(json_array_length(json_extract(body, '$.turns')), 0)),
+calls AS (SELECT delivery_id, CAST(row_number() OVER (PARTITION BY delivery_id ORDER BY turn, j.i) AS INT) AS call_no, coalesce(json_extract_string(tc, '$[' || j.i || '].tool'), '') AS tool, json_extract(tc, '$[' || j.i || '].arguments') AS args, json_extract(tc, '$[' || j.i || '].returned_ids') AS ids FROM turned, range(0, 64) j(i) WHERE json_type(tc) = 'ARRAY' AND j.i < json_array_length(tc)),
+asked AS (SELECT *, coalesce(CASE WHEN json_type(args) = 'VARCHAR' THEN json_extract_string(json_extract_string(args, '$'), '$.query') ELSE json_extract_string(args, '$.query') END, '') AS query_text, coalesce(json_array_length(ids), 0) AS n FROM calls)"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p2_found, p2_readings, p3_found, p3_new_batch, p4_found, p4_calls, p5_found, p5_lifespans, p5_table)
+}
+ORACLE = {
+    "p3_found": f"WITH k AS (SELECT delivery_id, received_at, {_IDS} FROM episodes) SELECT delivery_id FROM (SELECT delivery_id, row_number() OVER (PARTITION BY {', '.join(MESSAGE)} ORDER BY received_at NULLS LAST, delivery_id) AS n FROM k) WHERE n > 1",
+    "p3_new_batch": f"WITH k AS (SELECT delivery_id, received_at, batch_no, {_IDS} FROM episodes), n AS (SELECT *, row_number() OVER (PARTITION BY {', '.join(MESSAGE)} ORDER BY received_at NULLS LAST, delivery_id) AS r FROM k WHERE batch_no = (SELECT max(batch_no) FROM k)) SELECT delivery_id FROM n WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM k s WHERE s.batch_no < n.batch_no AND {_SAME})",
+    "p4_found": f"WITH {_CALLS} SELECT delivery_id, call_no, CAST(CASE WHEN n = 0 THEN 0 ELSE k.i + 1 END AS INT) AS id_no, tool, query_text, coalesce(CASE WHEN json_type(json_extract(ids, '$[' || k.i || ']')) = 'OBJECT' THEN json_extract_string(ids, '$[' || k.i || '].id') ELSE json_extract_string(ids, '$[' || k.i || ']') END, '') AS paper_id FROM asked, range(0, 256) k(i) WHERE k.i < greatest(n, 1)",
+    "p4_calls": f"WITH {_CALLS} SELECT delivery_id, call_no, tool, query_text, CAST(n AS INT) AS n_ids FROM asked",
+}
+
+QUERIES |= _PLANS
+ORACLE |= _SQL
