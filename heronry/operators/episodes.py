@@ -107,10 +107,10 @@ def run_loop(policy: MockPolicy, tools: dict[str, Callable[[dict], list[str]]],
     return {"ranked": observed[:5], "calls": calls, "observed": observed, "log": log, "forced": True}
 
 
-def replay_episodes(calls: DataFrame, ranked: DataFrame) -> DataFrame:
+def replay_episodes(calls: DataFrame, ranked: DataFrame, **limits: int) -> DataFrame:
     """Runs the loop over recorded episodes: (delivery_id, calls, n_observed, n_ranked, forced).
 
-    ``calls`` has (delivery_id, call_no, tool, paper_ids); an episode's calls, bounded by its turn limit, are gathered
+    ``limits`` are those of ``run_loop``. ``calls`` has (delivery_id, call_no, tool, paper_ids); an episode's calls, bounded by its turn limit, are gathered
     in one row before the loop, so that no group is handed to a task.
     """
     rows = calls.groupBy("delivery_id").agg(F.array_sort(F.collect_list(F.struct("call_no", "tool", "paper_ids"))).alias("calls")).join(ranked, "delivery_id")
@@ -121,7 +121,7 @@ def replay_episodes(calls: DataFrame, ranked: DataFrame) -> DataFrame:
             for i, cs, r in zip(b["delivery_id"], b["calls"], b["ranked"], strict=True):
                 held = [list(c["paper_ids"]) for c in cs]
                 script = [{"action": c["tool"], "n": n} for n, c in enumerate(cs)]
-                e = run_loop(ReplayPolicy(script, list(r) if r is not None else []), {c["tool"]: lambda a, held=held: held[a["n"]] for c in cs})
+                e = run_loop(ReplayPolicy(script, list(r) if r is not None else []), {c["tool"]: lambda a, held=held: held[a["n"]] for c in cs}, **limits)
                 out.append((i, e["calls"], len(e["observed"]), len(e["ranked"]), e["forced"]))
             yield pd.DataFrame(out, columns=["delivery_id", "calls", "n_observed", "n_ranked", "forced"])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heronry.functions.timestamps import normalise
 from heronry.operators import dedupe, drift, flatten, temporal
-from heronry.plans import audit, functions, graph, relational, retrieval, sources  # noqa: F401  (each registers its queries)
+from heronry.plans import agents, audit, functions, graph, relational, retrieval, sources  # noqa: F401  (each registers its queries)
 from heronry.plans.registry import ORACLE as _SQL
 from heronry.plans.registry import QUERIES as _PLANS
 from heronry.session import table
@@ -29,7 +29,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
         .groupBy("instance_id").agg(F.min("utc_us").alias("at"))
     )
     base = F.regexp_replace("paper_id", r"v\d+$", "")
-    pairs = flatten.returned_ids(_hybrid(spark, d), ["instance_id"]).select("instance_id", base.alias("paper_id")).distinct()
+    pairs = flatten.returned_ids(_hybrid(spark, d), ["instance_id"]).select("instance_id", base.alias("paper_id")).filter("paper_id <> ''").distinct()
     papers = table(spark, d, "temporal_objects").filter(F.col("obj_id").startswith("paper:")).select("obj_id", "revision", "available_at", "feed")
     known = normalise(papers, "available_at", "feed", feeds).withColumn("paper_id", F.expr("substring(obj_id, 7)"))
     intervals = temporal.validity(known, "paper_id", "utc_us", "revision")
