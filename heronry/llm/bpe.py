@@ -28,6 +28,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}
 ASCII_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: Pieces whose ids a worker remembers; beyond that the memory is emptied and filled anew, results stay the same.
 MEMO = 400_000
+#: Rows whose ids are held in memory before they are handed on.
+ROWS = 512
 #: Longer pieces are not remembered.
 MEMO_LENGTH = 64
 
@@ -195,7 +197,8 @@ def encode_column(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        # A few rows at a time, so that long texts and their ids are not all held at once.
+        for b in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
             flat: list[int] = []
             ends = [0]
             for t in b.column(1).to_pylist():

@@ -14,9 +14,22 @@ from heronry.session import table
 TOKENIZERS = os.environ.get("HERONRY_TOKENIZERS", "/opt/tokenizers")
 
 
+def _tokenizer(folder: str, name: str) -> str:
+    """The file in the folder, else where an installed package of the tokenizers has it."""
+    path = os.path.join(folder, name)
+    if not os.path.exists(path):
+        try:
+            import public_tokenizers
+
+            return public_tokenizers.path(name)
+        except ImportError:
+            pass
+    return path
+
+
 def p6_ids(spark: SparkSession, d: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
-    return bpe.encode_column(table(spark, d, "documents"), "doc_id", "text", f"{tokenizers}/byte_bpe_50k.json")
+    return bpe.encode_column(table(spark, d, "documents"), "doc_id", "text", _tokenizer(tokenizers, "byte_bpe_50k.json"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
