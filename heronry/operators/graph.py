@@ -172,7 +172,9 @@ def rewire(edges: DataFrame, seed: int, rounds: int = 10, bucket: int = 2000, sh
     makes too. In- and out-degrees per relation hold exactly after every round. With ``share`` below 1 only edges whose
     hash falls below it take part.
     """
-    named = materialise(edges.select("src", "dst", "rel", F.monotonically_increasing_id().alias("_id")))
+    # Names come from the edges themselves, so that a seed gives the same graph however the input is partitioned.
+    copy = F.row_number().over(Window.partitionBy("src", "dst", "rel").orderBy(F.lit(0)))
+    named = materialise(edges.select("src", "dst", "rel", copy.alias("_c")).select("src", "dst", "rel", F.xxhash64("src", "dst", "rel", "_c").alias("_id")))
     take = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
     sizes = named.groupBy("rel").agg(F.greatest(F.lit(1), F.floor(F.count("*") / bucket)).alias("_buckets"))
     now = named

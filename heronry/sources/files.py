@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 #: Timestamps are written and read to the microsecond.
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
-CSV = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\n"}
+#: Nulls are written as \\N, so that empty texts stay empty texts.
+CSV = {"nullValue": "\\N", "emptyValue": "", "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\n"}
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
