@@ -49,7 +49,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_limits(spark: SparkSession, d: str) -> DataFrame:
     """Lengths at which a source ends texts far more often than at the lengths near by."""
-    found = truncation.limits(table(spark, d, "documents"), "text", "source")
+    found = truncation.limits(truncation.measured(table(spark, d, "documents"), "doc_id", "text", "source"))
     return found.select("source", "unit", "length", "n_ended", "n_reached", F.round("hazard", 6).alias("hazard"), F.round("expected", 6).alias("expected"))
 
 

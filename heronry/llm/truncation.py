@@ -5,7 +5,8 @@ functions give it for every length in characters and in bytes. A field limit lif
 that of its neighbours; every length is tested against them and the false-discovery rate is held over all sources and
 lengths. Endings are graded by their form: ``open`` (mid-word, mid-sentence, inside an unclosed record or formula),
 ``weak`` (complete without a full stop as far as form tells: titles, lists, captions, references, code) and ``closed``.
-Open endings are cut wherever they are, at a limit or in transfer; weak ones are cut only at a significant length.
+Open endings are cut wherever they are, at a limit or in transfer; weak ones only at a length at which their own hazard
+is significant.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ TITLE_WORDS = 15
 #: Most characters the marks of an omission at the very end can take.
 MARK_SPAN = 64
 
+#: White space of any script, and what takes no space at all.
+_BLANK = r"[\s\p{Z}\u200b-\u200d\u2060\ufeff]"
 #: What may stand after a break to say that something was left out; sentence ends; what may follow one.
 _OMISSION = r"(?:…|\.\.\.+|\ufffd|[\[(<{]\s*(?:…|\.\.\.+|(?i:truncated|clipped|cut(?: off)?|continued|cont(?:inue|'d|\.)?|more|read more|snip(?:ped)?|omitted|abridged|shortened|elided|trimmed|text truncated))\.{0,3}\s*[\])>}]|(?i:read more)\.{0,3})"
 _MARKS = rf"(?:\s*{_OMISSION})+\s*$"
@@ -60,9 +63,9 @@ def with_ending(df: DataFrame, text: str) -> DataFrame:
     tune(df.sparkSession)
     keep = df.columns
     b, line, record = F.col("_body"), F.col("_line"), F.col("_record")
-    df = df.withColumn("_bare", F.regexp_replace(text, r"\s+$", ""))
+    df = df.withColumn("_bare", F.regexp_replace(text, _BLANK + "+$", ""))
     df = df.withColumn("_mark", F.length(F.regexp_extract(F.right("_bare", F.lit(MARK_SPAN)), _MARKS, 0)))
-    df = df.withColumn("_body", F.regexp_replace(F.left("_bare", F.length("_bare") - F.col("_mark")), r"\s+$", ""))
+    df = df.withColumn("_body", F.regexp_replace(F.left("_bare", F.length("_bare") - F.col("_mark")), _BLANK + "+$", ""))
     df = df.withColumn("_line", F.substring_index(b, "\n", -1)).withColumn("_para", F.substring_index(b, "\n\n", -1))
     df = df.withColumn("_record", F.when(line.rlike(_RECORD), line).when(F.col("_para").rlike(_RECORD), F.col("_para")))
     df = df.withColumn(
@@ -88,13 +91,14 @@ def with_ending(df: DataFrame, text: str) -> DataFrame:
 def hazards(lengths: DataFrame) -> DataFrame:
     """Hazard of every (source, unit, length): n_ended, n_reached, hazard, expected, p_value.
 
-    ``lengths`` has (source, unit, length) per text; it is pre-aggregated, so that windows run over at most as many
-    rows as there are lengths. ``expected`` is the pooled hazard of the lengths within NEIGHBOURS on both sides; the
-    p-value is the Chernoff bound of the binomial tail, which is never below the exact one.
+    ``lengths`` has (source, unit, length, event) per text: a text whose ``event`` is false reaches its length and
+    leaves without the event. It is pre-aggregated, so that windows run over at most as many rows as there are lengths.
+    ``expected`` is the pooled hazard of the lengths near by on both sides; the p-value is the Chernoff bound of the
+    binomial tail, which is never below the exact one.
     """
-    counts = lengths.groupBy("source", "unit", "length").agg(F.count("*").alias("n_ended"))
+    counts = lengths.groupBy("source", "unit", "length").agg(F.count_if("event").alias("n_ended"), F.count("*").alias("_left"))
     w = Window.partitionBy("source", "unit").orderBy("length")
-    reached = counts.withColumn("n_reached", F.sum("n_ended").over(w.rowsBetween(0, Window.unboundedFollowing)))
+    reached = counts.withColumn("n_reached", F.sum("_left").over(w.rowsBetween(0, Window.unboundedFollowing)))
     # Lengths at which no text ends have no row, yet texts reach them: a row stands for the gap before it too.
     gap = F.least(F.col("length") - F.coalesce(F.lag("length").over(w), F.col("length") - 1), F.lit(NEIGHBOURS))
     reached = reached.withColumn("_exposed", F.col("n_reached") * gap)
@@ -129,32 +133,42 @@ def significant(tested: DataFrame) -> DataFrame:
 
 
 def measured(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(key, source, ending, chars, bytes) of every text that is not blank."""
+    """(key, source, ending, chars, bytes, copy) of every text that is not blank; ``copy`` is a hash of the text."""
     graded = with_ending(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text")), "text").filter("ending <> 'blank'")
-    return graded.select("key", "source", "ending", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
+    return graded.select("key", "source", "ending", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("copy"))
 
 
-def limits(docs: DataFrame, text: str, source: str) -> DataFrame:
-    """The significant lengths of every source, in characters (``chars``) and in UTF-8 bytes (``bytes``)."""
-    full = docs.filter(F.col(text).isNotNull() & (F.trim(text) != "")).select(F.col(source).alias("source"), F.length(text).alias("chars"), F.octet_length(text).alias("bytes"))
-    each = full.select("source", F.expr("stack(2, 'chars', chars, 'bytes', bytes) as (unit, length)"))
+def limits(found: DataFrame, ending: str | None = None) -> DataFrame:
+    """The significant lengths of every source, in characters (``chars``) and in UTF-8 bytes (``bytes``), of ``measured`` texts.
+
+    With ``ending`` the hazard is that of such endings alone, among all texts that get as far. Copies of one text say
+    nothing more about lengths and count once.
+    """
+    one = found.select("source", "ending", "chars", "bytes", "copy").distinct()
+    event = F.lit(True) if ending is None else F.col("ending") == ending
+    each = one.select("source", event.alias("event"), F.expr("stack(2, 'chars', chars, 'bytes', bytes) as (unit, length)"))
     return significant(hazards(each))
 
 
 def truncated(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """(key, source, how) of every text that breaks off: ``how`` is ``limit`` at a significant length, else ``transfer``.
 
-    Null and blank texts are never truncated. A null source is a source of its own. Rows with equal keys or texts are
-    judged each on their own and all kept.
+    Endings that look complete without a full stop are taken for cut only at lengths where such endings themselves are
+    significantly frequent: a few that happen to have a limit's length are no cases. Null and blank texts are never
+    truncated. A null source is a source of its own. Rows with equal keys or texts are judged each on their own and
+    all kept. The texts are read once; what the tests need of them is checkpointed.
     """
-    docs = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"))
-    found = measured(docs, "key", "text", "source")
-    lim = materialise(limits(docs, "text", "source"))  # a few rows per source, wanted twice
-    at = lambda unit: lim.filter(F.col("unit") == unit).select(F.col("source").alias(f"_{unit}_s"), F.col("length").alias(f"_{unit}_l"))
+    found = materialise(measured(docs, key, text, source))
+    lim = materialise(limits(found).select("source", "unit", "length", F.lit(True).alias("_cut")).join(
+        limits(found, "weak").select(F.col("source").alias("_s"), F.col("unit").alias("_u"), F.col("length").alias("_l"), F.lit(True).alias("weak_too")),
+        F.col("source").eqNullSafe(F.col("_s")) & (F.col("unit") == F.col("_u")) & (F.col("length") == F.col("_l")), "left",
+    ).select("source", "unit", "length", F.coalesce("weak_too", F.lit(False)).alias("weak_too")))  # a few rows per source, wanted twice
     for unit in ("chars", "bytes"):
-        found = found.join(at(unit), F.col("source").eqNullSafe(F.col(f"_{unit}_s")) & (F.col(unit) == F.col(f"_{unit}_l")), "left")
+        at = lim.filter(F.col("unit") == unit).select(F.col("source").alias(f"_{unit}_s"), F.col("length").alias(f"_{unit}_l"), F.col("weak_too").alias(f"_{unit}_w"))
+        found = found.join(at, F.col("source").eqNullSafe(F.col(f"_{unit}_s")) & (F.col(unit) == F.col(f"_{unit}_l")), "left")
     at_limit = F.col("_chars_l").isNotNull() | F.col("_bytes_l").isNotNull()
-    out = found.filter((F.col("ending") == "open") | ((F.col("ending") == "weak") & at_limit))
+    weak_too = F.coalesce("_chars_w", F.lit(False)) | F.coalesce("_bytes_w", F.lit(False))
+    out = found.filter((F.col("ending") == "open") | ((F.col("ending") == "weak") & weak_too))
     return out.select(F.col("key").alias(key), F.col("source").alias(source), F.when(at_limit, "limit").otherwise("transfer").alias("how"))
 
 

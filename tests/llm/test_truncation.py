@@ -15,7 +15,7 @@ OPEN = [
     "Text.\n\n{\"a\": [1, 2", "Text.\n\n{\"a\": \"So.", "Text.\n\n```\nrun --x", "\\begin{equation}\nx = 1.", "Text.\n\n| a | b |\n| 1 | 2", "Text.\nassistant: {\"action\": \"x\", \"query\": \"so.",
     "这里没有结束。这里断", "Text.\n\n[2] Doe, Roe: a stu", "Text.\n\nKeywords: one,", "See e.g.", "Text.\ntool: 2101.12345, 2102.12", "Ends in a byte\ufffd",
 ]
-BLANK = [None, "", "  \n\t ", "…"]
+BLANK = [None, "", "  \n\t ", "…", "\xa0", "\u200b \u3000"]
 
 
 def test_endings(spark):
@@ -45,27 +45,29 @@ def corpus(seed=1):
         t = text(rng.randint(60, 900))
         b = t.encode()[:400].decode(errors="ignore")
         rows.append((n, None, b, b != t and not b.rstrip().endswith(".")))
-    rows.append((9000, "chars", "Text.\n\nKeywords: " + "word " * 96 + "two", True))  # 500 characters, complete by its form only
-    rows.append((9001, "free", "Text.\n\nKeywords: " + "word " * 96 + "two", False))
+    # 500 characters, complete by their form only: at a limit that is a sign if it happens often, elsewhere and once it is none.
+    rows += [(9000 + n, "chars", f"Text {n}.\n\nKeywords: " + "word " * 95 + "two" + "x" * (4 - len(str(n)) + 0), True) for n in range(12)]
+    rows += [(9100 + n, "free", f"Text {n}.\n\nKeywords: " + "word " * 40 + "two" * n, False) for n in range(12)]
+    rows.append((9200, None, "Text.\n\nKeywords: " + "word " * 76 + "abc", False))
     return rows
 
 
 def test_limits_and_cases(spark):
     rows = corpus()
-    assert len(rows[-2][2]) == 500
+    assert {len(r[2]) for r in rows if 9000 <= r[0] < 9100} == {500} and len(rows[-1][2].encode()) == 400
     df = spark.createDataFrame([r[:3] for r in rows], "doc_id bigint, source string, text string")
-    lim = {(r.source, r.unit, r.length) for r in T.limits(df, "text", "source").collect()}
+    lim = {(r.source, r.unit, r.length) for r in T.limits(T.measured(df, "doc_id", "text", "source")).collect()}
     assert ("chars", "chars", 500) in lim and (None, "bytes", 400) in lim and not any(s == "free" for s, _, _ in lim)
     got = {r.doc_id: r.how for r in T.truncated(df, "doc_id", "text", "source").collect()}
     assert set(got) == {r[0] for r in rows if r[3]} and got[9000] == "limit"
     rates = {r.source: r for r in T.rates(df, "doc_id", "text", "source").collect()}
-    assert rates["free"].rate == 0 and rates["chars"].at_limit + rates["chars"].in_transfer == sum(r[3] for r in rows if r[1] == "chars") and rates[None].n_docs == 1500
+    assert rates["free"].rate == 0 and rates["chars"].at_limit + rates["chars"].in_transfer == sum(r[3] for r in rows if r[1] == "chars") and rates[None].n_docs == 1501
 
 
 def test_hazards_against_brute_force(spark):
     rng = random.Random(2)
     lens = [rng.choice([50, 50, *range(40, 60)]) for _ in range(500)]
-    h = {r.length: r for r in T.hazards(spark.createDataFrame([("s", "chars", x) for x in lens], "source string, unit string, length int")).collect()}
+    h = {r.length: r for r in T.hazards(spark.createDataFrame([("s", "chars", x, True) for x in lens], "source string, unit string, length int, event boolean")).collect()}
     for x in set(lens):
         assert h[x].n_ended == lens.count(x) and h[x].n_reached == sum(y >= x for y in lens)
     assert h[50].p_value < 1e-6 < h[45].p_value
