@@ -24,11 +24,11 @@ LEAST = 5
 EXCESS, NARROW = 3.0, 3
 #: Words a line that is the whole text may have to pass for a title.
 TITLE_WORDS = 15
-#: Most characters the marks of an omission at the very end can take.
+#: Most characters that marks of an omission, or what closes a sentence, can take at the very end.
 MARK_SPAN = 64
 
 #: White space of any script, and what takes no space at all.
-_BLANK = r"[\s\p{Z}\u200b-\u200d\u2060\ufeff]"
+_BLANK = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)))
 #: What may stand after a break to say that something was left out; sentence ends; what may follow one.
 _OMISSION = r"(?:…|\.\.\.+|\ufffd|[\[(<{]\s*(?:…|\.\.\.+|(?i:truncated|clipped|cut(?: off)?|continued|cont(?:inue|'d|\.)?|more|read more|snip(?:ped)?|omitted|abridged|shortened|elided|trimmed|text truncated))\.{0,3}\s*[\])>}]|(?i:read more)\.{0,3})"
 _MARKS = rf"(?:\s*{_OMISSION})+\s*$"
@@ -62,11 +62,11 @@ def with_ending(df: DataFrame, text: str) -> DataFrame:
     """
     tune(df.sparkSession)
     keep = df.columns
-    b, line, record = F.col("_body"), F.col("_line"), F.col("_record")
-    df = df.withColumn("_bare", F.regexp_replace(text, _BLANK + "+$", ""))
+    b, line, record, end = F.col("_body"), F.col("_line"), F.col("_record"), F.col("_end")
+    df = df.withColumn("_bare", F.rtrim(F.col(text), F.lit(_BLANK)))
     df = df.withColumn("_mark", F.length(F.regexp_extract(F.right("_bare", F.lit(MARK_SPAN)), _MARKS, 0)))
-    df = df.withColumn("_body", F.regexp_replace(F.left("_bare", F.length("_bare") - F.col("_mark")), _BLANK + "+$", ""))
-    df = df.withColumn("_line", F.substring_index(b, "\n", -1)).withColumn("_para", F.substring_index(b, "\n\n", -1))
+    df = df.withColumn("_body", F.rtrim(F.left("_bare", F.length("_bare") - F.col("_mark")), F.lit(_BLANK)))
+    df = df.withColumn("_end", F.right(b, F.lit(MARK_SPAN))).withColumn("_line", F.substring_index(b, "\n", -1)).withColumn("_para", F.substring_index(b, "\n\n", -1))
     df = df.withColumn("_record", F.when(line.rlike(_RECORD), line).when(F.col("_para").rlike(_RECORD), F.col("_para")))
     df = df.withColumn(
         "_unclosed",
@@ -78,8 +78,8 @@ def with_ending(df: DataFrame, text: str) -> DataFrame:
     ending = (
         F.when(F.coalesce(b, F.lit("")) == "", "blank")
         .when(F.col("_unclosed"), "open")
-        .when(b.rlike(_STOP), F.when(b.rlike(_ABBREVIATION), "open").otherwise("closed"))
-        .when(b.rlike(_CLOSED_BLOCK) | (record.isNotNull() & b.rlike(r"[}\]]$")), "closed")
+        .when(end.rlike(_STOP), F.when(end.rlike(_ABBREVIATION), "open").otherwise("closed"))
+        .when(end.rlike(_CLOSED_BLOCK) | (record.isNotNull() & end.rlike(r"[}\]]$")), "closed")
         .when(line.startswith("|"), F.when(line.rlike(r".\|$"), "closed").otherwise("open"))
         .when((F.col("_mark") > 0) | line.rlike(_OPEN_LINE), "open")
         .when(line.rlike(_WEAK) | one_line, "weak")
