@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import itertools
 import re
 import unicodedata
 import urllib.parse
@@ -103,10 +104,13 @@ class Vocabulary:
     def flat(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Words of several texts in one array, a separator after each, and where each begins."""
         get, none = self.number.get, self.size
-        starts = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum([len(ws) + 1 for ws in texts], out=starts[1:])
-        out = np.fromiter((x for ws in texts for x in (*(get(w, none) for w in ws), none + 1)), np.int32, int(starts[-1]))
-        return out, starts
+        out: list[int] = []
+        starts = [0]
+        for ws in texts:
+            out.extend(map(get, ws, itertools.repeat(none)))
+            out.append(none + 1)
+            starts.append(len(out))
+        return np.array(out, np.int32), np.array(starts, np.int64)
 
     def grams(self, ids: np.ndarray) -> np.ndarray:
         """Hash of every sequence of GRAM words by where it begins."""
