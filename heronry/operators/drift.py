@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from heronry.session import materialise
 
-LEAF_SCHEMA = "file_id bigint, rec_key string, path string, types string, empty boolean, value string"
+FOOTER_SCHEMA = "file_id bigint, path string, type string, empty boolean, n bigint"
+VALUE_SCHEMA = "file_id bigint, side string, rec_key string, path string, value string"
 #: Most fields the consistent table may have; its columns are known to the driver, like any schema.
 MAX_FIELDS = 2000
 
@@ -62,21 +64,49 @@ def _record(body: str | None) -> dict[str, list]:
     return out
 
 
-def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = []
-        for file_id, key, body in zip(b["file_id"], b["rec_key"], b["body"], strict=True):
-            for path, (kinds, values) in _record(body).items():
+        n: Counter = Counter()
+        for file_id, body in zip(b["file_id"], b["body"], strict=True):
+            for path, (kinds, _) in _record(body).items():
                 real = kinds - {"empty"}
-                text = json.dumps(values, ensure_ascii=False, sort_keys=True)
-                digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-                rows.append((file_id, key, path, "|".join(sorted(real or {"array"})), not real, digest))
-        yield pd.DataFrame(rows, columns=["file_id", "rec_key", "path", "types", "empty", "value"])
+                n.update((file_id, path, kind, not real) for kind in real or ("array",))
+        yield pd.DataFrame([(*k, c) for k, c in n.items()], columns=["file_id", "path", "type", "empty", "n"])
+
+
+def footers(records: DataFrame) -> DataFrame:
+    """(file_id, path, type, empty, n): the fields of files, counted batch by batch before anything is shuffled."""
+    return records.select("file_id", "body").filter("file_id is not null").mapInPandas(_count, FOOTER_SCHEMA)
+
+
+def _digest(values: list) -> str:
+    text = json.dumps(values, ensure_ascii=False, sort_keys=True)
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def _values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = []
+        for key, body, wanted in zip(b["rec_key"], b["body"], b["wanted"], strict=True):
+            held = _record(body)
+            for pair, side in {(w["pair"], w["side"]) for w in wanted}:
+                rows.append((pair, side, key, "", ""))  # the record is there, whatever it holds
+            rows += [(w["pair"], w["side"], key, w["path"], _digest(held[w["path"]][1])) for w in wanted if w["path"] in held]
+        yield pd.DataFrame(rows, columns=["file_id", "side", "rec_key", "path", "value"])
 
 
-def fields(records: DataFrame) -> DataFrame:
-    """One row per record and field: (file_id, rec_key, path, types, empty, value), value a digest of all its values."""
-    return records.select("file_id", "rec_key", "body").filter("file_id is not null").mapInPandas(_explode, LEAF_SCHEMA).distinct()
+def restated(records: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(file_id, side, rec_key, path, value) of the wanted fields in records that a file and its predecessor both hold.
+
+    ``wanted`` has (read_file, pair, side, path): side ``old`` of a pair is read from the predecessor. Only wanted
+    fields leave the parser. Values are digests of all of a field's values with their positions; a record's repeated
+    lines count once.
+    """
+    per_file = wanted.groupBy(F.col("read_file").alias("file_id")).agg(F.collect_list(F.struct("pair", "side", "path")).alias("wanted"))
+    read = records.filter("rec_key is not null").select("file_id", "rec_key", "body").join(per_file, "file_id")
+    seen = read.select("rec_key", "body", "wanted").mapInPandas(_values, VALUE_SCHEMA)
+    per_record = seen.groupBy("file_id", "rec_key").agg(F.collect_set(F.struct("side", "path", "value")).alias("v"), F.count_distinct("side").alias("sides"))
+    return per_record.filter("sides = 2").select("file_id", "rec_key", F.inline("v")).filter("path <> ''")
 
 
 def file_order(files: DataFrame) -> DataFrame:
@@ -89,14 +119,13 @@ def file_order(files: DataFrame) -> DataFrame:
 
 
 def catalogue(found: DataFrame, order: DataFrame) -> DataFrame:
-    """The footers: (stream, seq, file_id, prev_file, next_file, path, type, n_records).
+    """All ``footers`` in file order: (stream, seq, file_id, prev_file, next_file, path, type, n_records).
 
     An empty array counts as a field of type array, unless its producer has fields below that path.
     """
     footer = (
-        found.select("file_id", "path", "empty", F.explode(F.split("types", r"\|")).alias("type"))
-        .groupBy("file_id", "path", "type")
-        .agg(F.count("*").alias("n_records"), F.bool_and("empty").alias("empty"))
+        found.groupBy("file_id", "path", "type")
+        .agg(F.sum("n").alias("n_records"), F.bool_and("empty").alias("empty"))
         .join(order, "file_id")
     )
     depth = F.split("path", r"\.")
@@ -154,8 +183,7 @@ def changes(records: DataFrame, files: DataFrame) -> DataFrame:
     values in all of them. Empty tables give no rows.
     """
     order = file_order(files)
-    found = materialise(fields(records))
-    cat = lifespans(catalogue(found, order))
+    cat = materialise(lifespans(catalogue(footers(records), order)))
     begun = cat.filter("starts and prev_file is not null").select("file_id", "path", "type")
     ended = cat.filter("stops and next_file is not null").select(F.col("next_file").alias("file_id"), "path", "type")
     here = cat.select("file_id", "path").distinct()
@@ -171,16 +199,11 @@ def changes(records: DataFrame, files: DataFrame) -> DataFrame:
     come, gone = state.filter("now and not before").select("file_id", "path"), state.filter("before and not now").select("file_id", "path")
 
     pairs = order.filter("prev_file is not null").select("file_id", "prev_file")
-    both = come.select("file_id").distinct().join(gone.select("file_id").distinct(), "file_id").join(pairs, "file_id")
-    keys = found.filter("rec_key is not null").select("file_id", "rec_key").distinct()
-    restated = keys.join(both, "file_id").join(keys.select(F.col("file_id").alias("prev_file"), "rec_key"), ["prev_file", "rec_key"])
-    values = found.select("file_id", "rec_key", "path", "value")
-    new = values.join(come, ["file_id", "path"]).join(restated, ["file_id", "rec_key"])
-    old = (
-        values.withColumnRenamed("file_id", "prev_file")
-        .join(gone.join(pairs, "file_id"), ["prev_file", "path"])
-        .join(restated.drop("prev_file"), ["file_id", "rec_key"])
-    )
+    both = come.select("file_id").distinct().join(gone.select("file_id").distinct(), "file_id")
+    new = come.join(both, "file_id").select(F.col("file_id").alias("read_file"), F.col("file_id").alias("pair"), F.lit("new").alias("side"), "path")
+    old = gone.join(both, "file_id").join(pairs, "file_id").select(F.col("prev_file").alias("read_file"), F.col("file_id").alias("pair"), F.lit("old").alias("side"), "path")
+    values = materialise(restated(records, new.unionByName(old)))
+    old, new = (values.filter(F.col("side") == side) for side in ("old", "new"))
     same = _digests(old).withColumnRenamed("path", "old_field").join(_digests(new).withColumnRenamed("path", "new_field"), ["file_id", "n", "h1", "h2"])
     same = same.select("file_id", "old_field", "new_field")
     known = same.groupBy("old_field", "new_field").agg(F.count("*").alias("known"))
@@ -223,7 +246,7 @@ def unified(records: DataFrame, files: DataFrame, changed: DataFrame) -> DataFra
     double, boolean); any other is string, the JSON text where it is no plain string. Columns follow from the alias
     table, so that reading is one pass without a shuffle of the bodies.
     """
-    cat = catalogue(fields(records), file_order(files))
+    cat = materialise(catalogue(footers(records), file_order(files)))
     name = aliases(changed, cat)
     types: dict[str, set[str]] = {}
     for r in cat.select("path", "type").distinct().collect():

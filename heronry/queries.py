@@ -90,7 +90,7 @@ def p2_readings(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_lifespans(spark: SparkSession, d: str) -> DataFrame:
     """Spans of files in which each stream's field has a type."""
-    return drift.islands(drift.catalogue(drift.fields(table(spark, d, "raw_records")), drift.file_order(table(spark, d, "result_files"))))
+    return drift.islands(drift.catalogue(drift.footers(table(spark, d, "raw_records")), drift.file_order(table(spark, d, "result_files"))))
 
 
 _IDS = ", ".join(f"lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')) AS {c}" for c in MESSAGE)

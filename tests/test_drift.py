@@ -60,5 +60,5 @@ def test_unified(spark):
 
 def test_islands(spark):
     records, files, _ = run(spark, [("s", 1, {"1": {"a": 1}}), ("s", 2, {"1": {"b": 1}}), ("s", 3, {"1": {"a": 1}})])
-    spans = X.islands(X.catalogue(X.fields(records), X.file_order(files)))
+    spans = X.islands(X.catalogue(X.footers(records), X.file_order(files)))
     assert sorted((r.path, r.first_seq, r.last_seq) for r in spans.collect()) == [("a", 1, 1), ("a", 3, 3), ("b", 2, 2)]
