@@ -48,6 +48,9 @@ FIELDS = {
     "hh": "${hh}", "mi": "${mi}", "ss": "${ss}", "us": "${us}", "ap": "${ap}", "zs": "${zs}", "zh": "${zh}", "zm": "${zm}", "zn": "${zn}",
 }
 
+#: Columns that ``normalise`` adds.
+RESULT = ("utc_us", "reading", "posterior")
+
 EM_ROUNDS = 30
 PRIOR = 1.0
 CERTAIN = 0.95
@@ -129,14 +132,16 @@ def normalise(df: DataFrame, value: str, source: str, sources: DataFrame, zone_c
     known for the source) or ``unreadable``; only the first four have ``utc_us``. Null, empty and blank values,
     impossible days or times and values without a full day are ``unreadable``. A repeated wall time means its first
     occurrence, a skipped one is read with the offset before the change. Rows are kept one to one, repeats included;
-    columns of other names pass through, and names with the prefix ``_t_`` are reserved.
+    other columns pass through, but for those that have a result's name or the prefix ``_t_``, which are replaced or
+    left out.
     """
     p = lambda n: F.col("_t_" + n)
     known = sources.select(
         F.col(source).alias("_t_src"), F.col(zone_col).alias("_t_tz"), F.lower(F.col(order_col)).alias("_t_order")
     ).dropDuplicates(["_t_src"])
     tune(df.sparkSession)
-    keep = df.columns
+    keep = [c for c in df.columns if c not in RESULT and not c.startswith("_t_")]
+    df = df.select(*[F.col(f"`{c}`") for c in keep])
     fields = read_fields(df, value)
     weights = mixture_weights(fields, source).select(F.col(source).alias("_t_wsrc"), "w_dmy")
     # One row per source on both sides: their size follows the number of sources, and Spark's own size check picks the join.

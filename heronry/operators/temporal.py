@@ -91,23 +91,28 @@ def as_of_join(events: DataFrame, intervals: DataFrame, entity: str, at: str, ke
 
     ``events`` holds distinct rows of keys, entity and instant. An event on a boundary belongs to the interval that
     begins there. Should intervals overlap, the latest start wins, then the largest attribute. Events with a null
-    entity or instant come out with a null attribute.
+    entity or instant come out with a null attribute. No key may be called ``attribute``; other names are free.
     """
     names = [*keys, entity, at]
     # Both sides are laid out by (entity, part) on purpose, and the planner is to take that for the join on (entity, part, node) too.
     tune(events.sparkSession)
-    left = events.select(*names).withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int"))
-    left = left.repartition(entity, "_salt").withColumn("_node", F.explode(F.concat(F.array(F.lit(NO_NODE)), enclosing_nodes(F.col(at)))))
+    # Own names inside, so that columns of the events may be called anything.
+    left = events.select(F.col(f"`{entity}`").alias("_e"), F.col(f"`{at}`").alias("_at"), *[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)])
+    own = [f"_k{i}" for i in range(len(keys))]
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int")).repartition("_e", "_salt")
+    left = left.withColumn("_node", F.explode(F.concat(F.array(F.lit(NO_NODE)), enclosing_nodes(F.col("_at")))))
     right = (
         intervals.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         .repartition("entity", "_salt_r")
-        .select(F.col("entity").alias("_entity"), "_salt_r", "valid_from", "valid_to", "attribute", F.explode(covering_nodes(F.col("valid_from"), F.col("valid_to"))).alias("_node_r"))
-    )
-    met = left.join(
-        right.hint("shuffle_hash"),
-        (F.col(entity) == F.col("_entity")) & (F.col("_salt") == F.col("_salt_r")) & (F.col("_node") == F.col("_node_r")),
-        "left",
-    )
-    inside = (F.col("valid_from") <= F.col(at)) & (F.col(at) < F.col("valid_to"))
-    best = F.max(F.when(F.col("valid_from").isNotNull(), F.struct("valid_from", "attribute")))
-    return met.filter(inside | (F.col("_node") == NO_NODE)).groupBy(entity, "_salt", *keys, at).agg(best.alias("_best")).select(*names, F.col("_best.attribute").alias("attribute"))
+        .select(
+            F.col("entity").alias("_e_r"), "_salt_r", F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"), F.col("attribute").alias("_a"),
+            F.explode(covering_nodes(F.col("valid_from"), F.col("valid_to"))).alias("_node_r"),
+        )
+    )
+    same = (F.col("_e") == F.col("_e_r")) & (F.col("_salt") == F.col("_salt_r")) & (F.col("_node") == F.col("_node_r"))
+    met = left.join(right.hint("shuffle_hash"), same, "left")
+    inside = (F.col("_from") <= F.col("_at")) & (F.col("_at") < F.col("_to"))
+    best = F.max(F.when(F.col("_from").isNotNull(), F.struct("_from", "_a")))
+    out = met.filter(inside | (F.col("_node") == NO_NODE)).groupBy("_e", "_salt", *own, "_at").agg(best.alias("_best"))
+    renamed = dict(zip(names, [*own, "_e", "_at"], strict=True))
+    return out.select(*[F.col(renamed[n]).alias(n) for n in names], F.col("_best._a").alias("attribute"))

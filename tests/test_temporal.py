@@ -32,6 +32,13 @@ def test_overlapping_intervals_latest_start_wins(spark):
     assert got == {1: 1, 2: 3, 3: 2, 4: 1, 5: 1, 6: None}
 
 
+def test_names_do_not_clash(spark):
+    r = spark.createDataFrame([("a", 3, 1)], "entity string, valid_from bigint, attribute int")
+    ev = spark.createDataFrame([(7, "a", 5, 1)], "valid_from bigint, entity string, _at bigint, _node int")
+    got = T.as_of_join(ev, T.validity(r, "entity", "valid_from", "attribute"), "entity", "_at", ["valid_from", "_node"]).collect()
+    assert [tuple(x) for x in got] == [(7, 1, "a", 5, 1)] and got[0].__fields__ == ["valid_from", "_node", "entity", "_at", "attribute"]
+
+
 def test_empty_tables(spark):
     r = spark.createDataFrame([], "e string, t bigint, rev int")
     ev = spark.createDataFrame([(1, "a", 5)], "k bigint, e string, at bigint")

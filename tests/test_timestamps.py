@@ -64,6 +64,13 @@ def test_mixture_settles_or_marks(spark):
     assert at["04/04/2020", "free"].utc_us == us("2020-04-04") and at["01/13/2020", "free"].reading == "mdy"
 
 
+def test_clashing_names(spark):
+    feeds = spark.createDataFrame(FEEDS, "feed string, tz_name string, date_order string")
+    df = spark.createDataFrame([("2020-01-01", "utc", 1, "x", 2, "y")], "v string, feed string, utc_us int, reading string, _t_v int, `a.b` string")
+    got = normalise(df, "v", "feed", feeds).collect()
+    assert got[0].asDict() == {"v": "2020-01-01", "feed": "utc", "a.b": "y", "utc_us": us("2020-01-01"), "reading": "single", "posterior": 1.0}
+
+
 def test_empty(spark):
     feeds = spark.createDataFrame([], "feed string, tz_name string, date_order string")
     assert normalise(spark.createDataFrame([], "v string, feed string"), "v", "feed", feeds).collect() == []
