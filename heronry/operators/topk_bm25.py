@@ -3,7 +3,7 @@
 Scores of a whole query set are dense: common words let nearly every document score for nearly every query. Joining
 postings with query terms makes a row for each word, query and document; here a task multiplies the term weights of
 its documents with the queries' terms, and keeps the k best of each query before anything is shuffled. Queries are
-taken in blocks, so what a task holds is bounded by BLOCK queries and BATCH documents, not by the corpus.
+taken in blocks, so what a task holds is bounded by the terms of BLOCK queries and by BATCH documents, not by the corpus.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from heronry.operators.relational import top_k
 
 K1, B = 1.5, 0.75
 #: Queries per pass and documents per product.
-BLOCK, BATCH = 4000, 512
+BLOCK, BATCH = 500, 512
 _TOKEN = re.compile("[a-z0-9]+")
 
 
@@ -71,15 +71,16 @@ def search(queries: DataFrame, docs: DataFrame, k: int, visible: bool = False) -
         number = {w: i for i, w in enumerate(sorted({w for ws in terms for w in ws}))}
         if not number:
             continue
-        asked = np.zeros((len(number), len(rows)))
-        for j, ws in enumerate(terms):
-            asked[[number[w] for w in ws], j] = 1.0
+        places = [np.array([number[w] for w in ws], np.int64) for ws in terms]
         n, mean, df = statistics(docs, number)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         ids = np.array([r.query for r in rows])
         until = np.array([r.as_of for r in rows], "datetime64[D]") if visible else None
 
-        def run(batches: Iterator[pa.RecordBatch], number=number, asked=asked, idf=idf, mean=mean, ids=ids, until=until) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+        def run(batches: Iterator[pa.RecordBatch], number=number, places=places, idf=idf, mean=mean, ids=ids, until=until) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            asked = np.zeros((len(number), len(places)))
+            for j, at in enumerate(places):
+                asked[at, j] = 1.0
             for b in batches:
                 docs_in, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
                 avail = b.column(2).to_numpy(zero_copy_only=False).astype("datetime64[D]") if until is not None else None

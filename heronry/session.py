@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -50,7 +52,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     own = getattr(shared_dir, "own", None)
     if own is None:
-        own = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="heronry-")
+        folder = tempfile.mkdtemp(prefix="heronry-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        own = shared_dir.own = "file://" + folder
     return own
 
 

@@ -128,7 +128,10 @@ def test_timestamps_masking_and_ids(spark):
     assert one(spark.range(1).select(T.clamp(F.lit("1.5")).alias("a"), T.clamp(F.lit("x")).alias("b"), T.paragraph_number(F.lit("p7")).alias("c"), T.paragraph_number(F.lit("q")).alias("d"))) == (1.0, 0.0, 7, None)
 
 
-def test_bm25_forms_agree(spark):
+@pytest.mark.parametrize("block", [500, 4])
+def test_bm25_forms_agree(spark, monkeypatch, block):
+    monkeypatch.setattr(topk_bm25, "BLOCK", block)
+    monkeypatch.setattr(topk_bm25, "BATCH", 16)
     rng = random.Random(8)
     docs = [(i, " ".join(rng.choice("abcdefghijk") * rng.randint(1, 2) for _ in range(rng.randint(0, 30))), rng.randint(0, 9)) for i in range(120)] + [(500, None, 1), (501, "", 1)]
     qs = [(i, " ".join(rng.choice("abcdefghijkz") for _ in range(4)), rng.randint(0, 9)) for i in range(9)] + [(90, None, 1)]
