@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 16
+#: What counts as an outer blank: white space and no-break spaces.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u2003\u2009\u200b\u3000\ufeff"
 
 
-def identity(df: DataFrame, id_cols: list[str]) -> list[str]:
+def identity(df: DataFrame, id_cols: list[str]) -> list[Column]:
     """Normalised comparison columns: without outer blanks and letter case; nulls stay null."""
-    return [F.lower(F.regexp_replace(F.col(c), r"^\s+|\s+$", "")).alias(f"_id_{i}") for i, c in enumerate(id_cols)]
+    return [F.lower(F.trim(F.col(c).cast("string"), F.lit(BLANKS))).alias(f"_id_{i}") for i, c in enumerate(id_cols)]
 
 
 def rank_copies(df: DataFrame, id_cols: list[str], arrival: str, tie: str, salts: int = SALTS) -> DataFrame:
