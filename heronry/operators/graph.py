@@ -135,19 +135,31 @@ def co_cited(edges: DataFrame, anchors: DataFrame, k: int, cap: int = PER_NODE_C
     return top_k(n, ["anchor"], k, "-n", "doc")
 
 
-def simple_paths(edges: DataFrame, pairs: DataFrame, max_hops: int, k: int, cap: int = PER_NODE_CAP) -> DataFrame:
-    """(a, b, path, hops): up to k shortest undirected paths of each asked pair, by (hops, path), over capped adjacency."""
-    adj = materialise(capped(edges, cap=cap).select("node", "nbr").distinct())
-    walks = pairs.select("a", "b", F.array("a").alias("path"))
+def simple_paths(edges: DataFrame, pairs: DataFrame, max_hops: int, k: int) -> DataFrame:
+    """(a, b, path, hops, rank): the k shortest undirected simple paths of each asked pair, by (hops, path).
+
+    Walks set out from either end and meet in the middle, so no walk is longer than half of ``max_hops``; every
+    neighbour is walked to.
+    """
+    adj = materialise(both_ways(edges).select("node", "nbr").distinct())
+    asked = materialise(pairs.select("a", "b").distinct())
+
+    def walks(end: str, most: int) -> list[DataFrame]:
+        out = [asked.select("a", "b", F.array(end).alias("walk"))]
+        for _ in range(most):
+            step = out[-1].withColumn("node", F.element_at("walk", -1)).join(adj, "node").filter(~F.array_contains("walk", F.col("nbr")))
+            out.append(materialise(step.select("a", "b", F.concat("walk", F.array("nbr")).alias("walk"))))
+        return out
+
+    there, back = walks("a", (max_hops + 1) // 2), walks("b", max_hops // 2)
     found = None
-    for _ in range(max_hops):
-        step = walks.withColumn("node", F.element_at("path", -1)).join(adj, "node").filter(~F.array_contains("path", F.col("nbr")))
-        step = step.select("a", "b", F.concat("path", F.array("nbr")).alias("path"))
-        done = step.filter(F.element_at("path", -1) == F.col("b"))
-        found = done if found is None else found.unionByName(done)
-        walks = step.filter(F.element_at("path", -1) != F.col("b"))
-    out = found.select("a", "b", F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"))
-    return top_k(out, ["a", "b"], k, "hops", "path", name="rank")
+    for hops in range(1, max_hops + 1):
+        x = there[(hops + 1) // 2].select("a", "b", F.element_at("walk", -1).alias("mid"), F.col("walk").alias("x"))
+        y = back[hops // 2].select("a", "b", F.element_at("walk", -1).alias("mid"), F.reverse(F.slice("walk", 1, hops // 2)).alias("y"))
+        met = x.join(y, ["a", "b", "mid"]).filter(~F.arrays_overlap("x", "y"))
+        met = met.select("a", "b", F.array_join(F.concat("x", "y"), ">").alias("path"), F.lit(hops).alias("hops"))
+        found = met if found is None else found.unionByName(met)
+    return top_k(found, ["a", "b"], k, "hops", "path", name="rank")
 
 
 # --- perturbations

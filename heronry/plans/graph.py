@@ -216,7 +216,7 @@ def j09_two_hop(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def g21_paths(spark: SparkSession, d: str) -> DataFrame:
-    return G.simple_paths(edges(spark, d).filter("rel = 'has_part'"), _pairs(spark, d), 4, 5, cap=10)
+    return G.simple_paths(edges(spark, d).filter("rel = 'has_part'"), _pairs(spark, d), 4, 5)
 
 
 @query(f"WITH {AA.replace('anchors AS (SELECT', 'true_anchors AS (SELECT 1), anchors AS (SELECT').replace('FROM part WHERE p_partkey % 50 = 0', 'FROM part WHERE p_partkey % 50 = 25')} SELECT anchor, doc, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY round(score, 9) DESC, doc) AS rank FROM aa) WHERE rank <= 10")
