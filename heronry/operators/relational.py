@@ -56,6 +56,22 @@ def global_rank(df: DataFrame, *order: str, name: str = "position") -> DataFrame
     return here.withColumn(name, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).drop("_at", "_part", "_before")
 
 
+def nearest(df: DataFrame, key: str, value: str, k: int) -> DataFrame:
+    """(anchor, near, rank): the k other rows nearest to each row by (gap of ``value``, ``key``), whatever the density.
+
+    Values are compared to six digits; null is near nothing. The k distinct values on either side in the total order hold
+    all that can be nearest, each with its first k + 1 keys, one of which may be the row itself.
+    """
+    rows = df.select(F.col(key).alias("anchor"), F.round(value, 6).alias("_v")).filter("_v is not null")
+    held = top_k(rows, ["_v"], k + 1, "anchor", name="_n").groupBy("_v").agg(F.collect_list("anchor").alias("_keys"))
+    at = global_rank(held, "_v", name="_place")
+    reach = at.select(F.col("_v").alias("_own"), F.explode(F.sequence(F.col("_place") - k, F.col("_place") + k)).alias("_place"))
+    gap = reach.join(at, "_place").select("_own", F.explode("_keys").alias("near"), F.round(F.abs(F.col("_v") - F.col("_own")), 6).alias("_gap"))
+    best = top_k(gap, ["_own"], k + 1, "_gap", "near", name="_n").drop("_n")
+    pairs = rows.join(best, F.col("_v") == F.col("_own")).filter("anchor <> near")
+    return top_k(pairs, ["anchor"], k, "_gap", "near").select("anchor", "near", "rank")
+
+
 def shard(df: DataFrame, n: int, i: int, *order: str) -> DataFrame:
     """Every n-th row of the total order, from the i-th."""
     return global_rank(df, *order).filter(F.col("position") % n == i).drop("position")

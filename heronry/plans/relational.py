@@ -164,12 +164,7 @@ def j08_as_of_legality(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH s AS (SELECT s_suppkey, s_acctbal, CAST(floor(s_acctbal / 500) AS BIGINT) AS b FROM supplier), p AS (SELECT a.s_suppkey AS anchor, c.s_suppkey AS near, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY abs(round(c.s_acctbal - a.s_acctbal, 6)), c.s_suppkey) AS rank FROM s a JOIN s c ON c.s_suppkey <> a.s_suppkey AND c.b BETWEEN a.b - 1 AND a.b + 1) SELECT anchor, near, CAST(rank AS INT) AS rank FROM p WHERE rank <= 3")
 def j12_nearest_by_gap(spark: SparkSession, d: str) -> DataFrame:
-    # Neighbours are sought in a value's bin and the two beside it: an equi-join instead of all pairs.
-    s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.floor(F.col("s_acctbal") / 500).alias("b"))
-    a = s.select(F.col("s_suppkey").alias("anchor"), F.col("s_acctbal").alias("va"), F.explode(F.sequence(F.col("b") - 1, F.col("b") + 1)).alias("b"))
-    c = s.select(F.col("s_suppkey").alias("near"), F.col("s_acctbal").alias("vc"), "b")
-    gap = a.join(c, "b").filter("anchor <> near").withColumn("gap", F.abs(F.round(F.col("vc") - F.col("va"), 6)))
-    return R.top_k(gap, ["anchor"], 3, "gap", "near").select("anchor", "near", "rank")
+    return R.nearest(table(spark, d, "supplier"), "s_suppkey", "s_acctbal", 3)
 
 
 @query("SELECT doc_id, CAST(i AS INT) AS pos, a, b FROM (SELECT doc_id, list_zip(string_split(left(text, 200), ' '), string_split(right(text, 200), ' ')) AS z FROM documents WHERE text IS NOT NULL AND text <> '') , LATERAL (SELECT unnest(range(1, len(z) + 1)) AS i) t, LATERAL (SELECT z[i][1] AS a, z[i][2] AS b) u")

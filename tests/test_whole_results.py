@@ -47,3 +47,18 @@ def test_g21_paths(spark, small):
     asked = con.sql("SELECT 'p:' || a.p_partkey, 'p:' || b.p_partkey FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 50 WHERE a.p_partkey % 50 = 0").fetchall()
     want = [(a, b, h, p) for a, b in asked for h, p in paths_by_search(edges, a, b, 4, 5)]
     assert want and sorted((r.a, r.b, r.hops, r.path) for r in QUERIES["g21_paths"](spark, small).collect()) == sorted(want)
+
+
+def test_j12_nearest_by_gap(spark, small):
+    sql = "WITH p AS (SELECT a.s_suppkey AS anchor, c.s_suppkey AS near, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY abs(round(c.s_acctbal - a.s_acctbal, 6)), c.s_suppkey) AS rank FROM supplier a JOIN supplier c ON c.s_suppkey <> a.s_suppkey) SELECT anchor, near, CAST(rank AS INT) AS rank FROM p WHERE rank <= 3"
+    agrees(spark, small, "j12_nearest_by_gap", sql)
+
+
+def test_nearest_among_ties_and_outliers(spark):
+    rng = random.Random(7)
+    values = [float(rng.randint(0, 12)) for _ in range(60)] + [1e6, 1e6 + 0.25, -5e5, None]
+    ids = rng.sample(range(1000), len(values))
+    known = [(i, v) for i, v in zip(ids, values, strict=True) if v is not None]
+    want = [(i, n, r + 1) for i, v in known for r, (_, n) in enumerate(sorted((abs(w - v), j) for j, w in known if j != i)[:3])]
+    got = R.nearest(spark.createDataFrame(list(zip(ids, values, strict=True)), "id int, v double"), "id", "v", 3)
+    assert sorted((r.anchor, r.near, r["rank"]) for r in got.collect()) == sorted(want)
