@@ -169,8 +169,9 @@ def j12_nearest_by_gap(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, CAST(i AS INT) AS pos, a, b FROM (SELECT doc_id, list_zip(string_split(left(text, 200), ' '), string_split(right(text, 200), ' ')) AS z FROM documents WHERE text IS NOT NULL AND text <> '') , LATERAL (SELECT unnest(range(1, len(z) + 1)) AS i) t, LATERAL (SELECT z[i][1] AS a, z[i][2] AS b) u")
 def j13_positional_zip(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter("text is not null and text <> ''")
-    z = F.arrays_zip(F.split(F.left("text", F.lit(200)), " ").alias("a"), F.split(F.right("text", F.lit(200)), " ").alias("b"))
+    # The aligned lists are all words of a text and the same words from the end.
+    docs = table(spark, d, "documents").filter("text is not null and text <> ''").select("doc_id", F.split("text", " ").alias("a"))
+    z = F.arrays_zip("a", F.reverse("a").alias("b"))
     return docs.select("doc_id", F.posexplode(z).alias("p", "z")).select("doc_id", (F.col("p") + 1).alias("pos"), F.col("z.a").alias("a"), F.col("z.b").alias("b"))
 
 

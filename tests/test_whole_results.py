@@ -62,3 +62,8 @@ def test_nearest_among_ties_and_outliers(spark):
     want = [(i, n, r + 1) for i, v in known for r, (_, n) in enumerate(sorted((abs(w - v), j) for j, w in known if j != i)[:3])]
     got = R.nearest(spark.createDataFrame(list(zip(ids, values, strict=True)), "id int, v double"), "id", "v", 3)
     assert sorted((r.anchor, r.near, r["rank"]) for r in got.collect()) == sorted(want)
+
+
+def test_j13_positional_zip(spark, small):
+    sql = "WITH w AS (SELECT doc_id, string_split(text, ' ') AS a FROM documents WHERE text IS NOT NULL AND text <> '') SELECT doc_id, CAST(i AS INT) AS pos, a[i] AS a, a[len(a) + 1 - i] AS b FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM w)"
+    agrees(spark, small, "j13_positional_zip", sql)
