@@ -184,12 +184,11 @@ def j14_config_product(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT a.doc_id, CAST(count(*) AS BIGINT) AS others FROM documents a JOIN documents b ON a.section = b.section AND a.source = b.source AND a.lang = b.lang AND b.doc_id % 50 = 0 AND b.paper_id IS DISTINCT FROM a.paper_id GROUP BY 1")
 def j15_group_exclusion(spark: SparkSession, d: str) -> DataFrame:
-    # Probes are the rows whose id is divisible by 50; the pairs are counted per group of the probes first.
+    # Others are the rows of the group less those of the own paper, from counts: no pairs.
     docs = table(spark, d, "documents").select("doc_id", "section", "source", "lang", "paper_id")
     keys = ["section", "source", "lang"]
-    probes = docs.filter("doc_id % 50 = 0")
-    all_in = probes.groupBy(*keys).agg(F.count("*").alias("n"))
-    own = probes.groupBy(*keys, "paper_id").agg(F.count("*").alias("same"))
+    own = docs.groupBy(*keys, "paper_id").agg(F.count("*").alias("same"))
+    all_in = own.groupBy(*keys).agg(F.sum("same").alias("n"))
     match = reduce(lambda x, y: x & y, [F.col(f"x.{k}") == F.col(f"o.{k}") for k in keys]) & F.col("x.paper_id").eqNullSafe(F.col("o.paper_id"))
     both = docs.join(all_in, keys).alias("x").join(own.alias("o"), match, "left")
     return both.select(F.col("x.doc_id").alias("doc_id"), (F.col("x.n") - F.coalesce("o.same", F.lit(0))).alias("others")).filter("others > 0")

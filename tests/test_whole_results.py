@@ -67,3 +67,10 @@ def test_nearest_among_ties_and_outliers(spark):
 def test_j13_positional_zip(spark, small):
     sql = "WITH w AS (SELECT doc_id, string_split(text, ' ') AS a FROM documents WHERE text IS NOT NULL AND text <> '') SELECT doc_id, CAST(i AS INT) AS pos, a[i] AS a, a[len(a) + 1 - i] AS b FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM w)"
     agrees(spark, small, "j13_positional_zip", sql)
+
+
+def test_j15_group_exclusion(spark, small):
+    sql = "WITH o AS (SELECT section, source, lang, paper_id, count(*) AS same FROM documents GROUP BY ALL), n AS (SELECT section, source, lang, sum(same) AS n FROM o GROUP BY ALL) SELECT doc_id, CAST(n - same AS BIGINT) AS others FROM documents d JOIN n USING (section, source, lang) JOIN o ON o.section = d.section AND o.source = d.source AND o.lang = d.lang AND o.paper_id IS NOT DISTINCT FROM d.paper_id WHERE n > same"
+    agrees(spark, small, "j15_group_exclusion", sql)
+    pairs = "SELECT a.doc_id, CAST(count(*) AS BIGINT) AS others FROM documents a JOIN documents b ON a.section = b.section AND a.source = b.source AND a.lang = b.lang AND b.paper_id IS DISTINCT FROM a.paper_id GROUP BY 1"
+    agrees(spark, small, "j15_group_exclusion", pairs)
