@@ -69,9 +69,10 @@ def e10_final_parser(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT paper_id AS inst, CAST(count(*) AS BIGINT) AS steps, md5(string_agg(doc_id || ':' || coalesce(left(text, 220), ''), chr(10) ORDER BY doc_id)) AS transcript FROM documents WHERE paper_id IS NOT NULL GROUP BY 1")
 def e21_transcript(spark: SparkSession, d: str) -> DataFrame:
-    line = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce(F.left("text", F.lit(220)), F.lit("")))
-    t = table(spark, d, "documents").filter("paper_id is not null").groupBy(F.col("paper_id").alias("inst"))
-    return t.agg(F.count("*").alias("steps"), F.md5(F.array_join(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("l"))))["l"], "\n")).alias("transcript"))
+    # Whole texts; a line is hashed before lines are gathered, so that a paper's row holds 32 characters a line.
+    line = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce("text", F.lit(""))))
+    t = table(spark, d, "documents").filter("paper_id is not null").select(F.col("paper_id").alias("inst"), "doc_id", line.alias("l")).groupBy("inst")
+    return t.agg(F.count("*").alias("steps"), F.md5(F.array_join(F.array_sort(F.collect_list(F.struct("doc_id", "l")))["l"], "\n")).alias("transcript"))
 
 
 @query("SELECT row_id, 'id=' || arxiv_id || ' | title=' || coalesce(title, '') || ' | abstract=' || left(coalesce(abstract, ''), 220) AS line FROM papers WHERE arxiv_id IS NOT NULL")

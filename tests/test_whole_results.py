@@ -74,3 +74,13 @@ def test_j15_group_exclusion(spark, small):
     agrees(spark, small, "j15_group_exclusion", sql)
     pairs = "SELECT a.doc_id, CAST(count(*) AS BIGINT) AS others FROM documents a JOIN documents b ON a.section = b.section AND a.source = b.source AND a.lang = b.lang AND b.paper_id IS DISTINCT FROM a.paper_id GROUP BY 1"
     agrees(spark, small, "j15_group_exclusion", pairs)
+
+
+def test_e21_transcript(spark, small, tmp_path):
+    sql = "SELECT paper_id AS inst, CAST(count(*) AS BIGINT) AS steps, md5(string_agg(l, chr(10) ORDER BY doc_id, l)) AS transcript FROM (SELECT *, md5(doc_id || ':' || coalesce(text, '')) AS l FROM documents) WHERE paper_id IS NOT NULL GROUP BY 1"
+    agrees(spark, small, "e21_transcript", sql)
+    start = "x" * 7000
+    rows = [("a", 1, start + "one"), ("b", 1, start + "two"), ("c", 1, start + "one")]
+    spark.createDataFrame(rows, "paper_id string, doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    t = {r.inst: r.transcript for r in QUERIES["e21_transcript"](spark, str(tmp_path)).collect()}
+    assert t["a"] == t["c"] != t["b"]
