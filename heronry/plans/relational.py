@@ -423,7 +423,7 @@ def w13_share_of_total(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderdate, o_orderkey LIMIT 100")
 def t01_multi_key_sort(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").orderBy(*R.order_of("-o_totalprice", "o_orderdate", "o_orderkey")).limit(100).select("o_orderkey", "o_totalprice")
+    return R.global_rank(table(spark, d, "orders"), "-o_totalprice", "o_orderdate", "o_orderkey").select("o_orderkey", "o_totalprice", "position")
 
 
 @query("SELECT o_custkey, o_orderkey, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3")

@@ -84,3 +84,8 @@ def test_e21_transcript(spark, small, tmp_path):
     spark.createDataFrame(rows, "paper_id string, doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     t = {r.inst: r.transcript for r in QUERIES["e21_transcript"](spark, str(tmp_path)).collect()}
     assert t["a"] == t["c"] != t["b"]
+
+
+def test_t01_multi_key_sort(spark, small):
+    sql = "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderdate, o_orderkey) - 1 AS position FROM orders"
+    agrees(spark, small, "t01_multi_key_sort", sql)
