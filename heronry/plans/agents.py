@@ -10,15 +10,19 @@ from heronry.operators import episodes as E
 from heronry.operators import flatten
 from heronry.operators import graph as G
 from heronry.operators import relational as R
+from heronry.operators import retrieval as S
 from heronry.operators import stats as X
 from heronry.operators import topk_bm25
 from heronry.plans import audit as A
 from heronry.plans import graph as PG
 from heronry.plans import retrieval as PR
 from heronry.plans.registry import query
-from heronry.session import scratch, table
+from heronry.session import materialise, scratch, table
 from heronry.sources import files, model
 
+#: Places of a ranking that takes part in a fusion.
+FUSED = 50
+
 # --- sinks and sources
 
 
@@ -70,11 +74,25 @@ def r12_arm_diversity(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {PG.AA}, x AS (SELECT 'all' AS variant, anchor, doc, score FROM aa) SELECT variant, anchor, doc, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY round(score, 9) DESC, doc) AS rank FROM x) WHERE rank <= 5 UNION ALL SELECT 'flat', 'none', 'none', 0 WHERE false")
 def r13_graph_variants(spark: SparkSession, d: str) -> DataFrame:
-    # One frame with the variant as a column; the flat variant has no edges and so no rows.
+    # Four graphs, families of edges and doses of rewiring, each alone and fused with BM25 over part names. Rankings of
+    # FUSED places are fused, normalised fusion takes all scores; the first five of each arm come out.
     e, a = PG.edges(spark, d), PG._anchors(spark, d)
-    arms = [("all", e), ("flat", e.filter("false"))]
-    out = [G.adamic_adar(v, a, "p:", 5).select(F.lit(n).alias("variant"), "anchor", "doc", "rank") for n, v in arms]
-    return out[0].unionByName(out[1])
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("doc"), F.col("p_name").alias("text"))
+    asked = names.filter("doc % 50 = 0").withColumnRenamed("doc", "query")
+    part = lambda c: F.concat(F.lit("p:"), F.col(c).cast("string")).alias(c)
+    found = topk_bm25.search(asked, names, FUSED + 1).filter("query <> doc").withColumnRenamed("rank", "place")
+    words = materialise(R.top_k(found, ["query"], FUSED, "place").select(part("query"), part("doc"), "rank"))
+    doses = [(f"dose_{n}", G.rewire(e, 30 + n, rounds=4, share=n / 100), False) for n in (25, 50, 75, 100)]
+    graphs = [("all", e, True), ("untyped", G.untyped(e), True), ("type_shuffled", G.shuffle_types(e, 5), True), ("rewired", G.rewire(e, 11, rounds=4), True)]
+    families = [(r, e.filter(F.col("rel") == r), False) for r in ("has_part", "supplied_by", "placed_by")]
+    out = words.select(F.lit("none").alias("variant"), F.lit("bm25").alias("rule"), F.col("query").alias("anchor"), "doc", "rank")
+    for name, graph, whole in [*graphs, *families, ("dose_0", e, False), *doses]:
+        scored = materialise(G.adamic_adar(graph, a, "p:", 1 << 30).withColumnRenamed("anchor", "query"))
+        near = scored.filter(F.col("rank") <= FUSED)
+        arms = [("graph", near), ("rrf", S.reciprocal_rank_fusion([words, near], FUSED))] + [("norm", S.normalised_fusion(words, scored, FUSED))] * whole
+        for rule, ranking in arms:
+            out = out.unionByName(ranking.select(F.lit(name).alias("variant"), F.lit(rule).alias("rule"), F.col("query").alias("anchor"), "doc", "rank"))
+    return out.filter("rank <= 5")
 
 
 @query()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from heronry.operators import graph as G
 from heronry.operators import relational as R
-from heronry.queries import QUERIES
+from heronry.queries import ORACLE, QUERIES
 
 
 def agrees(spark, folder, name, sql):
@@ -89,3 +89,18 @@ def test_e21_transcript(spark, small, tmp_path):
 def test_t01_multi_key_sort(spark, small):
     sql = "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderdate, o_orderkey) - 1 AS position FROM orders"
     agrees(spark, small, "t01_multi_key_sort", sql)
+
+
+def test_r13_graph_variants(spark, small):
+    arms = {}
+    for r in QUERIES["r13_graph_variants"](spark, small).collect():
+        arms.setdefault((r.variant, r.rule), {}).setdefault(r.anchor, {})[r["rank"]] = r.doc
+    graphs, doses = ["all", "untyped", "type_shuffled", "rewired"], [f"dose_{n}" for n in (0, 25, 50, 75, 100)]
+    want = {(g, r) for g in graphs for r in ("graph", "rrf", "norm")} | {(v, r) for v in [*doses, "has_part", "supplied_by", "placed_by"] for r in ("graph", "rrf")} | {("none", "bm25")}
+    assert set(arms) == want - {("placed_by", "graph")}  # no part has such an edge
+    anchors = set(arms["none", "bm25"])
+    assert all(set(v) == anchors and all(sorted(x) == [1, 2, 3, 4, 5] for x in v.values()) for k, v in arms.items() if k[0] in graphs)
+    assert arms["all", "graph"] == arms["dose_0", "graph"] == arms["untyped", "graph"] != arms["rewired", "graph"]
+    assert arms["placed_by", "rrf"] == arms["none", "bm25"]
+    old = oracle.connect(small).sql(ORACLE["r13_graph_variants"]).fetchall()
+    assert {(a, k): x for v, a, x, k in old} == {(a, k): x for a, xs in arms["all", "graph"].items() for k, x in xs.items()}
