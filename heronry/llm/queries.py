@@ -48,10 +48,16 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_limits(spark: SparkSession, d: str) -> DataFrame:
-    """Lengths at which a source ends texts far more often than at the lengths near by."""
-    found = truncation.limits(truncation.measured(table(spark, d, "documents"), "doc_id", "text", "source"))
+    """Lengths, and bands of lengths, at which a source ends texts far more often than at those near by."""
+    found = truncation.limits(truncation.texts(truncation.measured(table(spark, d, "documents"), "doc_id", "text", "source")))
     return found.select("source", "unit", "length", "n_ended", "n_reached", F.round("hazard", 6).alias("hazard"), F.round("expected", 6).alias("expected"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p8_found, p8_rates, p8_limits)}
+def p8_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Per source, length that is a limit (null for all others) and form of ending: what the hazards say and whether it is cut."""
+    found = truncation.evidence(table(spark, d, "documents"), "doc_id", "text", "source")
+    return found.select("source", "unit", "length", "form", "n", *[F.round(c, 6).alias(c) for c in ("share", "places", "relative_hazard")], "cut")
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p8_found, p8_rates, p8_limits, p8_evidence)}
 ORACLE: dict[str, str] = {}
