@@ -1,23 +1,26 @@
 """Evaluation texts leaking into training text, by latent semantic retrieval.
 
-1. Statistics over the whole corpus: in how many documents each word of the evaluation texts stands, and in how many
-   different texts each of their word sequences does. Sequences common to several items and many texts are stock phrases.
+1. One pass reads the corpus: every text is brought to the words of the evaluation texts, as numbers, and what the corpus
+   says of these words is counted. Word sequences common to several items and many different texts are stock phrases.
 2. The evaluation texts, without stock phrases, are cut into passages of WINDOW words; their TF-IDF matrix is
    factorised by a distributed randomised SVD (subspace iteration whose products are summed over partitions).
 3. Every document is cut into passages likewise, each projected to the latent space and compared by cosine with all
-   evaluation passages as one matrix product; near ones are candidates.
+   evaluation passages as one matrix product; near ones are candidates. The latent space blurs short passages among many
+   items, so whatever shares LINKS or more sequences of GRAM words with an item is a candidate as well: 20 words of which
+   two were replaced share at least that many, so this part is exact at any number of items.
 4. A candidate counts if the longest common subsequence of its words and the item's, in runs that only light edits
-   interrupt, has enough words, and words that are the item's own (no stock) at that: the answer must be there.
+   interrupt, has enough words, and enough words that are the item's own (no stock): the answer must be there.
 
-Two passes read the documents; neither shuffles them, and a document's passages never leave its task. What is
-broadcast is bounded by the evaluation texts, which are taken in blocks of BLOCK items.
+Texts are read and normalised once, whatever the number of items; a document's passages never leave its task. The words
+of all evaluation texts, their sequences and the latent space go to the workers; they are bounded by the evaluation
+texts. Passages go there in blocks of BLOCK items, which bounds memory and changes no row: everything that decides on a
+row is worked out over all items.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html
-import itertools
 import re
 import unicodedata
 import urllib.parse
@@ -30,24 +33,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heronry.session import materialise
+
 #: Words of a passage; documents are cut every HALF words, evaluation texts every STEP.
 WINDOW, HALF, STEP = 24, 12, 8
 #: Dimensions of the latent space, more that the sketch takes, rounds of the subspace iteration, and its seed.
 RANK, OVERSAMPLING, ROUNDS, SEED = 96, 16, 3, 20_240_601
 #: Cosine from which passages are candidates.
 COSINE = 0.7
-#: Words of a stock sequence; the items, the share of different texts and their number from which it is one.
-GRAM, STOCK_ITEMS, STOCK_SHARE, STOCK_LEAST = 6, 2, 0.01, 5
+#: Words of a sequence, and the sequences in common with an item from which a text is a candidate without a look at the latent space.
+GRAM, LINKS = 6, 3
+#: A sequence is stock if at least STOCK_ITEMS items have it and STOCK_SHARE of the different texts of some source, at least STOCK_LEAST.
+STOCK_ITEMS, STOCK_SHARE, STOCK_LEAST = 2, 0.01, 5
 #: Longest common subsequence that a passage of a document must have with the item before the two are compared in full.
 COMMON = 11
-#: A leak: common words in order, their share of the item's span, and the words that edits may replace in one place.
-MATCHED, DENSITY, GAP = 15, 0.7, 4
-#: Evaluation items searched for in one pass over the corpus.
+#: A leak: common words in order, how many of them no stock phrase has, and their share of the item's span; a stock sentence with a few words about it has a smaller share.
+MATCHED, OWN, TIGHT = 16, 9, 0.85
+#: Or so many words that no stock phrase has and a smaller share; and the words that edits may replace in one place.
+SURE, DENSITY, GAP = 15, 0.7, 4
+#: Evaluation items whose passages a task holds at a time.
 BLOCK = 4000
 
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
-_TAG = re.compile(r"</?(?:b|i|u|em|strong|span|sup|sub|code|a|font|mark|small|tt)(?:\s[^<>]{0,200})?>", re.I)
-_BLOCK_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->", re.S)
+_TAG = re.compile(r"</?(?:b|i|u|em|strong|span|sup|sub|code|a|font|mark|small|tt)(?:\s[^<>]*)?>", re.I)
+_BLOCK_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
 _STYLE = re.compile(r"\\(?:emph|underline|mbox|textit|textbf|textsc|texttt|textrm|textsf|textsl|text|mathrm|mathbf|mathit)\s*\{")
 _BROKEN = re.compile(r"(?<=\w)-[ \t]*\r?\n[ \t]*(?:>[ \t]*)*(?=\w)")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
@@ -96,21 +105,21 @@ class Vocabulary:
         self.known = grams[n >= STOCK_ITEMS]
         self.stock = np.zeros(0, np.uint64)
         self.idf = np.ones(self.size, np.float32)
+        #: What a text is stored as: numbers of words, ``size`` for any other word.
+        self.kind = np.uint16 if self.size < 65_000 else np.uint32
 
     def ids(self, ws: list[str]) -> np.ndarray:
         get, none = self.number.get, self.size
-        return np.fromiter((get(w, none) for w in ws), np.int32, len(ws))
+        return np.array([get(w, none) for w in ws], np.int32) if ws else np.zeros(0, np.int32)
 
-    def flat(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Words of several texts in one array, a separator after each, and where each begins."""
-        get, none = self.number.get, self.size
-        out: list[int] = []
-        starts = [0]
-        for ws in texts:
-            out.extend(map(get, ws, itertools.repeat(none)))
-            out.append(none + 1)
-            starts.append(len(out))
-        return np.array(out, np.int32), np.array(starts, np.int64)
+    def flat(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Several texts in one array, a separator after each, and where each begins."""
+        starts = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(t) + 1 for t in texts], out=starts[1:])
+        out = np.full(starts[-1], self.size + 1, np.int32)
+        for a, t in zip(starts, texts):
+            out[a : a + len(t)] = t
+        return out, starts
 
     def grams(self, ids: np.ndarray) -> np.ndarray:
         """Hash of every sequence of GRAM words by where it begins."""
@@ -139,41 +148,58 @@ class Vocabulary:
         return keep
 
 
-def statistics(docs: DataFrame, voc: Vocabulary) -> Vocabulary:
-    """Fills in idf and stock sequences from every document.
+READ_SCHEMA = "kind string, key bigint, n bigint, source string, text bigint, ids binary"
+
+
+def read(docs: DataFrame, voc: Vocabulary) -> DataFrame:
+    """What the corpus says, in one pass: rows of documents (``d``), of sequences in them (``g``) and of words (``w``).
 
-    Words are counted per document within a task, sequences as sketches of the different texts they stand in (copies
-    of one text count once); what comes back is at most a row per word and sequence of the evaluation texts.
+    ``docs`` has doc_id, text and source. A document's row has its words as numbers; it is left out if too few are words
+    of the evaluation texts. Sequences of several items have a row per document, -1 stands for the document itself; words
+    are counted within a task.
     """
+    own_words = np.dtype(voc.kind)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("n", pa.int64()), ("source", pa.string()), ("text", pa.int64()), ("ids", pa.binary())])
         df = np.zeros(voc.size + 1, np.int64)
-        kinds, keys, texts = [], [], []
         for b in batches:
-            listed = b.column(0).to_pylist()
-            flat, starts = voc.flat([words(t) for t in listed])
-            known = voc.among(voc.grams(flat), voc.known)
-            for n, t in enumerate(listed):
-                lo, hi = starts[n], starts[n + 1] - 1
-                df[np.unique(flat[lo:hi])] += 1
-                digest = int.from_bytes(hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-                at = np.unique(known[lo:hi])
-                found = [-1, *at[at >= 0].tolist()]
-                kinds += ["g"] * len(found)
-                keys += found
-                texts += [digest] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.int64()), pa.array([0] * len(keys), pa.int64()), pa.array(texts, pa.int64())], ["kind", "key", "n", "text"])
-            kinds, keys, texts = [], [], []
+            for lo in range(0, b.num_rows, 64):
+                keys, texts, sources = (b.column(c).slice(lo, 64).to_pylist() for c in range(3))
+                held = [voc.ids(words(t)) for t in texts]
+                flat, starts = voc.flat(held)
+                known = voc.among(voc.grams(flat), voc.known)
+                out: list[tuple] = []
+                for n, (t, ids) in enumerate(zip(texts, held)):
+                    df[np.unique(ids)] += 1
+                    digest = int.from_bytes(hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+                    at = np.unique(known[starts[n] : starts[n + 1] - 1])
+                    out += [("g", k, 0, sources[n], digest, None) for k in (-1, *at[at >= 0].tolist())]
+                    if np.count_nonzero(ids < voc.size) >= OWN:
+                        out.append(("d", keys[n], 0, None, 0, ids.astype(own_words).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
         some = np.nonzero(df[:-1])[0]
-        yield pa.RecordBatch.from_arrays([pa.array(["w"] * len(some), pa.string()), pa.array(some, pa.int64()), pa.array(df[some], pa.int64()), pa.nulls(len(some), pa.int64())], ["kind", "key", "n", "text"])
-
-    seen = docs.select(F.col("text").cast("string")).mapInArrow(count, "kind string, key bigint, n bigint, text bigint")
-    rows = seen.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.approx_count_distinct("text").alias("texts"), F.count("*").alias("rows")).toPandas()
-    grams, ws = rows[rows.kind == "g"], rows[rows.kind == "w"]
-    every = grams[grams.key == -1]
-    n_docs, n_texts = (int(every.rows.iloc[0]), int(every.texts.iloc[0])) if len(every) else (0, 0)
-    stock = grams[(grams.key >= 0) & (grams.texts >= max(STOCK_LEAST, STOCK_SHARE * n_texts))]
+        yield pa.RecordBatch.from_arrays([pa.array(["w"] * len(some), pa.string()), pa.array(some, pa.int64()), pa.array(df[some], pa.int64()), *(pa.nulls(len(some), f.type) for f in list(schema)[3:])], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.coalesce(F.col("source").cast("string"), F.lit(""))).mapInArrow(run, READ_SCHEMA)
+
+
+def statistics(seen: DataFrame, voc: Vocabulary) -> Vocabulary:
+    """Fills in idf and stock sequences from all rows of ``read``.
+
+    In how many different texts of a source a sequence stands is counted exactly, copies of one text once. What comes
+    back is at most a row per word and sequence of the evaluation texts.
+    """
+    per_source = seen.filter("kind = 'g'").select("key", "source", "text").distinct().groupBy("key", "source").agg(F.count("*").alias("texts"))
+    per_source = materialise(per_source)  # counted once, wanted twice
+    all_sources = per_source.groupBy("key").agg(F.sum("texts").alias("texts")).select("key", F.lit(None).cast("string").alias("source"), "texts")
+    counted = per_source.unionByName(all_sources)
+    of = counted.filter("key = -1").select(F.col("source").alias("_s"), F.col("texts").alias("_all"))
+    often = counted.filter("key >= 0").join(of, F.col("source").eqNullSafe(F.col("_s")))
+    stock = often.filter((F.col("texts") >= STOCK_LEAST) & (F.col("texts") >= STOCK_SHARE * F.col("_all"))).select("key").distinct().toPandas()
     voc.stock = np.sort(voc.known[stock.key.to_numpy(np.int64)])
+    ws = seen.filter("kind = 'w'").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    n_docs = seen.filter("kind = 'g' and key = -1").count()
     df = np.zeros(voc.size)
     df[ws.key.to_numpy(np.int64)] = ws.n.to_numpy(np.float64)
     voc.idf = np.log((n_docs + 1) / (df + 1) + 1).astype(np.float32)
@@ -246,95 +272,136 @@ def common(passage: list[int], at: dict[int, int], length: int) -> int:
     return length - s.bit_count()
 
 
-def leaked(doc: np.ndarray, item: np.ndarray) -> bool:
-    """Whether two word sequences (without stock) have a run in common that is long and dense enough.
+def leaked(compare: SequenceMatcher, doc: np.ndarray, own: np.ndarray) -> bool:
+    """Whether a stretch of a document has a run of words in common with an item that is long and dense enough.
 
-    The longest common blocks are found first and then those between them; blocks with at most GAP other words
-    between them on either side are one run.
+    ``compare`` holds the item, ``own`` how many of its first n words are in no stock phrase. The longest common blocks
+    are found first and then those between them; blocks with at most GAP other words between them on either side are
+    one run. Of the run MATCHED words must be in common, OWN of them no stock, or SURE that are no stock.
     """
-    run, start, end_d, end_i = 0, 0, 0, 0
-    for a, b, n in SequenceMatcher(None, doc.tolist(), item.tolist(), autojunk=False).get_matching_blocks():
+    compare.set_seq1(doc.tolist())
+    run, mine, start, end_d, end_i = 0, 0, 0, 0, 0
+    for a, b, n in compare.get_matching_blocks():
         if not n:
             continue
         if run and (a - end_d > GAP or b - end_i > GAP):
-            run = 0
+            run = mine = 0
         if not run:
             start = b
-        run, end_d, end_i = run + n, a + n, b + n
-        if run >= MATCHED and run >= DENSITY * (end_i - start):
+        run, mine, end_d, end_i = run + n, mine + int(own[b + n] - own[b]), a + n, b + n
+        span = end_i - start
+        if (mine >= SURE and run >= DENSITY * span) or (run >= MATCHED and mine >= OWN and run >= TIGHT * span):
             return True
     return False
 
 
 class Searcher:
-    """Passages of a block of evaluation items in the latent space; sent to the workers."""
+    """Passages and sequences of a block of evaluation items; sent to the workers."""
 
     def __init__(self, texts: dict[int, list[str]], voc: Vocabulary, space: np.ndarray) -> None:
         self.voc = voc
-        self.items: list[tuple[int, np.ndarray]] = []
-        rows, owner = [], []
+        self.names: list[int] = []
+        self.items: list[np.ndarray] = []
+        self.own: list[np.ndarray] = []
+        rows, owner, grams, of = [], [], [], []
         for i, ws in texts.items():
             ids = voc.ids(ws)
-            ids = ids[voc.own(ids)]
-            for p in _passages(ids):
+            own = voc.own(ids)
+            for p in _passages(ids[own]):
                 terms, w = _weights(p, voc)
                 rows.append(w @ space[terms])
                 owner.append(len(self.items))
-            self.items.append((i, ids))
-        self.masks = [masks(ids) for _, ids in self.items]
+            one = np.unique(voc.grams(ids))
+            grams.append(one[voc.among(one, voc.stock) < 0])
+            of.append(np.full(len(grams[-1]), len(self.items), np.int32))
+            self.names.append(i)
+            self.items.append(ids)
+            self.own.append(own)
+        self.masks = [masks(ids[own]) for ids, own in zip(self.items, self.own)]
         z = np.array(rows, np.float32).reshape(len(rows), space.shape[1])
         self.latent = np.ascontiguousarray((z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).T)
         self.owner = np.array(owner, np.int64)
         self.project = np.vstack([space * voc.idf[:, None], np.zeros((1, space.shape[1]))]).astype(np.float32)
+        #: The items of each sequence: ``holders[first[k]:first[k + 1]]`` of ``table[k]``.
+        every, holders = (np.concatenate(grams), np.concatenate(of)) if grams else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        order = np.argsort(every, kind="stable")
+        self.holders = holders[order]
+        self.table, first = np.unique(every[order], return_index=True)
+        self.first = np.append(first, len(every))
+        self.ready: dict[int, tuple[SequenceMatcher, np.ndarray]] = {}
+
+    def compare(self, i: int) -> tuple[SequenceMatcher, np.ndarray]:
+        """What ``leaked`` wants of an item, made when it is first wanted."""
+        if i not in self.ready:
+            self.ready[i] = SequenceMatcher(None, "", self.items[i].tolist(), autojunk=False), np.concatenate([[0], np.cumsum(self.own[i])])
+        return self.ready[i]
+
+    def linked(self, flat: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int], list[int]]:
+        """(text, item) -> where the text has sequences of the item, if they are LINKS at least."""
+        hit = self.voc.among(self.voc.grams(flat), self.table)
+        at = np.nonzero(hit >= 0)[0]
+        n = self.first[hit[at] + 1] - self.first[hit[at]]
+        each = np.repeat(at, n)
+        item = self.holders[np.repeat(self.first[hit[at]] - np.concatenate([[0], np.cumsum(n)[:-1]]) , n) + np.arange(len(each))] if len(at) else np.zeros(0, np.int32)
+        text = np.searchsorted(starts, each, "right") - 1
+        pair = text * len(self.items) + item
+        order = np.argsort(pair, kind="stable")
+        _, first, count = np.unique(pair[order], return_index=True, return_counts=True)
+        out = {}
+        for a, c in zip(first.tolist(), count.tolist()):
+            if c >= LINKS:
+                o = order[a : a + c]
+                out[int(text[o[0]]), int(item[o[0]])] = (each[o] - starts[text[o[0]]]).tolist()
+        return out
 
-    def block_sums(self, ids: np.ndarray) -> np.ndarray:
-        """Latent sums of each HALF words of a text; a passage is two that follow one another."""
-        return np.add.reduceat(self.project[ids], np.arange(0, len(ids), HALF), axis=0)
-
-    def search(self, texts: list[str | None]) -> list[tuple[int, int]]:
-        """(position of the text, item) of every leak in a few texts."""
-        held, rows, where = [], [], []
-        flat, starts = self.voc.flat([words(t) for t in texts])
-        own = self.voc.own(flat)
-        for n in range(len(texts)):
-            a, b = starts[n], starts[n + 1] - 1
-            ids = flat[a:b][own[a:b]]
-            held.append(ids)
+    def near(self, held: list[np.ndarray]) -> dict[tuple[int, int], list[int]]:
+        """(text, item) -> passages of the text that are near one of the item in the latent space; ``held`` are own words."""
+        rows, where = [], []
+        for n, ids in enumerate(held):
             # Words that no evaluation text has add nothing; a text with too few others cannot hold a passage.
-            if (ids < self.voc.size).sum() < MATCHED:
+            if np.count_nonzero(ids < self.voc.size) < COMMON:
                 continue
-            s = self.block_sums(ids)
+            # Latent sums of each HALF words of a text; a passage is two that follow one another.
+            s = np.add.reduceat(self.project[ids], np.arange(0, len(ids), HALF), axis=0)
             s = s[:-1] + s[1:] if len(s) > 1 else s
             rows.append(s)
             where += [(n, j) for j in range(len(s))]
+        out: dict[tuple[int, int], list[int]] = {}
         if not rows or not self.latent.shape[1]:
-            return []
+            return out
         z = np.vstack(rows)
         z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-        out: list[tuple[int, int]] = []
-        near: dict[tuple[int, int], set[int]] = {}
         for a in range(0, len(z), 1024):
             cos = z[a : a + 1024] @ self.latent
             for r in np.nonzero(cos.max(axis=1) >= COSINE)[0]:
                 n, j = where[a + r]
-                for c in np.nonzero(cos[r] >= COSINE)[0]:
-                    near.setdefault((n, int(self.owner[c])), set()).add(j)
-        for (n, i), at in near.items():
-            item_id, item = self.items[i]
-            alike = {j for j in at if common(held[n][j * HALF : j * HALF + WINDOW].tolist(), self.masks[i], len(item)) >= COMMON}
-            for a, b in _stretches(alike):
-                lo, hi = max(0, a * HALF - WINDOW), (b + 2) * HALF + WINDOW
-                if leaked(held[n][lo:hi], item):
-                    out.append((n, item_id))
-                    break
+                for i in set(self.owner[cos[r] >= COSINE].tolist()):
+                    if common(held[n][j * HALF : j * HALF + WINDOW].tolist(), self.masks[i], int(self.own[i].sum())) >= COMMON:
+                        out.setdefault((n, i), []).append(j)
+        return out
+
+    def search(self, texts: list[np.ndarray]) -> list[tuple[int, int]]:
+        """(position of the text, item) of every leak in a few texts, each given as numbers of words."""
+        flat, starts = self.voc.flat(texts)
+        mask = self.voc.own(flat)
+        own = [np.nonzero(mask[a : b - 1])[0] for a, b in zip(starts, starts[1:])]
+        places = self.linked(flat, starts)
+        for (n, i), js in self.near([t[o] for t, o in zip(texts, own)]).items():
+            spots = own[n]
+            places.setdefault((n, i), []).extend(int(spots[min(k, len(spots) - 1)]) for j in js for k in (j * HALF, j * HALF + WINDOW - 1))
+        out = []
+        for (n, i), at in sorted(places.items()):
+            compare, mine = self.compare(i)
+            if any(leaked(compare, texts[n][max(0, a - WINDOW) : b + GRAM + WINDOW], mine) for a, b in _stretches(at)):
+                out.append((n, self.names[i]))
         return out
 
 
-def _stretches(js: set[int]) -> list[tuple[int, int]]:
-    """Neighbouring passages joined, so that each stretch of a text is compared once."""
+def _stretches(at: list[int]) -> list[tuple[int, int]]:
+    """Places near one another joined, so that each stretch of a text is compared once."""
     out: list[list[int]] = []
-    for j in sorted(js):
-        if out and j - out[-1][1] <= 2:
+    for j in sorted(at):
+        if out and j - out[-1][1] <= 2 * WINDOW:
             out[-1][1] = j
         else:
             out.append([j, j])
@@ -344,27 +411,34 @@ def _stretches(js: set[int]) -> list[tuple[int, int]]:
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) of every document and evaluation item of which it holds a passage, each once per document row.
 
-    ``docs`` has doc_id and text, ``items`` item_id and item_text. Null and empty texts leak nothing, nor do items with
-    fewer than MATCHED words of their own; repeated document rows are answered each. Whole texts are searched.
+    ``docs`` has doc_id, text and, if there is one, source; ``items`` item_id and item_text. Null and empty texts leak
+    nothing, nor do items with fewer than OWN words of their own; repeated document rows are answered each. Whole texts
+    are searched.
     """
-    docs, items = docs.select("doc_id", "text"), items.select("item_id", "item_text").filter("item_id is not null and item_text is not null").dropDuplicates(["item_id"])
-    n_blocks = max(1, -(-items.count() // BLOCK))
+    source = F.col("source") if "source" in docs.columns else F.lit("")
+    docs, items = docs.select("doc_id", "text", source.alias("source")), items.select("item_id", "item_text").filter("item_id is not null and item_text is not null").dropDuplicates(["item_id"])
+    texts = {r.item_id: words(r.item_text) for r in items.collect()}
+    voc = Vocabulary(texts)
+    if not voc.size:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint")
+    seen = materialise(read(docs, voc))
+    voc = statistics(seen, voc)
+    space = latent_space(items, voc)
+    held = seen.filter("kind = 'd'").select("key", "ids")
+    names = sorted(texts)
     found = None
-    for k in range(n_blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k) if n_blocks > 1 else items
-        texts = {r.item_id: words(r.item_text) for r in part.collect()}
-        voc = Vocabulary(texts)
-        if not voc.size:
-            continue
-        voc = statistics(docs, voc)
-        one = Searcher(texts, voc, latent_space(part, voc))
+    for a in range(0, len(names), BLOCK):
+        one = Searcher({i: texts[i] for i in names[a : a + BLOCK]}, voc, space)
 
         def run(batches: Iterator[pa.RecordBatch], one: Searcher = one) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids, texts = b.column(0), b.column(1).to_pylist()
-                hits = [(a + n, i) for a in range(0, len(texts), 64) for n, i in one.search(texts[a : a + 64])]
+                ids, kept = b.column(0), b.column(1)
+                hits = []
+                for a in range(0, b.num_rows, 64):
+                    some = [np.frombuffer(x.as_buffer(), one.voc.kind).astype(np.int32) for x in kept.slice(a, 64)]
+                    hits += [(a + n, i) for n, i in one.search(some)]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array([n for n, _ in hits], pa.int64())), pa.array([i for _, i in hits], pa.int64())], ["doc_id", "item_id"])
 
-        got = docs.mapInArrow(run, "doc_id bigint, item_id bigint")
+        got = held.mapInArrow(run, "doc_id bigint, item_id bigint")
         found = got if found is None else found.unionByName(got)
-    return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint") if found is None else found
+    return found

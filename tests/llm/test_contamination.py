@@ -81,6 +81,39 @@ def test_blocks_give_the_same(spark, monkeypatch):
     assert {tuple(r) for r in C.leaks(*tables(spark, docs, items)).collect()} == truth
 
 
+def test_short_passages_are_found_among_many_items(spark, monkeypatch):
+    """20 words with up to two replaced, whatever the number of items and of blocks."""
+    rng = random.Random(12)
+    hosts = [text(rng, 12) for _ in range(40)]
+    items = {n: text(rng, 6) for n in range(30)}
+    more = {1000 + n: " ".join(h.split()[a : a + 80]) for n, (h, a) in enumerate((rng.choice(hosts), rng.randrange(0, 80)) for _ in range(70))}
+    docs, truth = list(hosts), set()
+    for n in range(90):
+        i, edits = rng.randrange(30), n % 3
+        w = items[i].split()
+        a = rng.randrange(0, len(w) - 20)
+        part = w[a : a + 20]
+        for p in rng.sample(range(1, 19), edits):
+            part[p] = "altered"
+        h = rng.choice(hosts).split()[:60]
+        b = rng.randrange(0, len(h))
+        truth.add((len(docs), i))
+        docs.append(" ".join(h[:b] + part + h[b:]))
+    got = {}
+    for name, of, block in (("few", items, 4000), ("many", items | more, 4000), ("blocks", items | more, 30)):
+        monkeypatch.setattr(C, "BLOCK", block)
+        got[name] = {tuple(r) for r in C.leaks(*tables(spark, docs, of)).collect()}
+        assert len(truth & got[name]) >= 0.95 * len(truth), name
+    assert got["many"] == got["blocks"]
+
+
+def test_a_stock_sentence_with_a_few_words_about_it_is_no_leak(spark):
+    rng = random.Random(13)
+    items = {n: text(rng, 3) + " " + STOCK + ". If reeds are counted the " + text(rng, 3) for n in range(4)} | {9: text(rng, 4) + " " + STOCK}
+    docs = [text(rng, 4) + (" " + STOCK + ". If reeds are counted the " if n % 3 == 0 else " ") + text(rng, 4) for n in range(200)]
+    assert C.leaks(*tables(spark, docs, items)).collect() == []
+
+
 def test_a_much_leaked_item_is_no_stock_phrase(spark):
     rng = random.Random(10)
     items = {n: text(rng, 5) for n in range(8)}
@@ -116,7 +149,8 @@ def test_randomised_svd_is_close_to_the_exact_one(spark, monkeypatch):
     docs, items, _ = planted(11)
     d, q = tables(spark, docs, items)
     monkeypatch.setattr(C, "RANK", 12)
-    voc = C.statistics(d.select("doc_id", "text"), C.Vocabulary({i: C.words(t) for i, t in items.items()}))
+    voc = C.Vocabulary({i: C.words(t) for i, t in items.items()})
+    voc = C.statistics(C.read(d.selectExpr("doc_id", "text", "'s' as source"), voc), voc)
     space = C.latent_space(q.select("item_id", "item_text"), voc)
     rows = []
     for t in items.values():
