@@ -72,7 +72,7 @@ def r12_arm_diversity(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("query").agg(F.count("*").alias("n"), F.count_if(F.col("avail") > F.col("as_of")).alias("future"), F.count_distinct("source").alias("sources"), F.count_distinct("section").alias("sections"))
 
 
-@query(f"WITH {PG.AA}, x AS (SELECT 'all' AS variant, anchor, doc, score FROM aa) SELECT variant, anchor, doc, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY round(score, 9) DESC, doc) AS rank FROM x) WHERE rank <= 5 UNION ALL SELECT 'flat', 'none', 'none', 0 WHERE false")
+@query()
 def r13_graph_variants(spark: SparkSession, d: str) -> DataFrame:
     # Four graphs, families of edges and doses of rewiring, each alone and fused with BM25 over part names. Rankings of
     # FUSED places are fused, normalised fusion takes all scores; the first five of each arm come out.

@@ -67,7 +67,7 @@ def e10_final_parser(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, d).select("delivery_id", F.size(r).alias("n"), F.coalesce(F.get(r, 0), F.lit("")).alias("first"))
 
 
-@query("SELECT paper_id AS inst, CAST(count(*) AS BIGINT) AS steps, md5(string_agg(doc_id || ':' || coalesce(left(text, 220), ''), chr(10) ORDER BY doc_id)) AS transcript FROM documents WHERE paper_id IS NOT NULL GROUP BY 1")
+@query("SELECT paper_id AS inst, CAST(count(*) AS BIGINT) AS steps, md5(string_agg(l, chr(10) ORDER BY doc_id, l)) AS transcript FROM (SELECT *, md5(doc_id || ':' || coalesce(text, '')) AS l FROM documents) WHERE paper_id IS NOT NULL GROUP BY 1")
 def e21_transcript(spark: SparkSession, d: str) -> DataFrame:
     # Whole texts; a line is hashed before lines are gathered, so that a paper's row holds 32 characters a line.
     line = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce("text", F.lit(""))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heronry.operators import graph as G
@@ -226,13 +226,15 @@ def g23_other_anchor(spark: SparkSession, d: str) -> DataFrame:
     return G.adamic_adar(edges(spark, d), other, "p:", 10).select("anchor", "doc", "rank")
 
 
-@query(f"WITH {EDGES}, {ANCHORS}, p AS (SELECT node, degree FROM deg WHERE node LIKE 'p:%'), c AS (SELECT anchor, b.node, row_number() OVER (PARTITION BY anchor ORDER BY abs(b.degree - a.degree), b.node) AS n FROM anchors JOIN p a ON a.node = anchor JOIN p b ON b.node <> anchor AND abs(b.degree - a.degree) <= 2) SELECT anchor, node AS control FROM c WHERE n = 1")
+@query(f"WITH {EDGES}, {ANCHORS}, p AS (SELECT node, degree FROM deg WHERE node LIKE 'p:%'), c AS (SELECT anchor, b.node, row_number() OVER (PARTITION BY anchor ORDER BY abs(b.degree - a.degree), b.node) AS n FROM anchors JOIN p a ON a.node = anchor JOIN p b ON b.node <> anchor) SELECT anchor, node AS control FROM c WHERE n = 1")
 def g24_degree_matched(spark: SparkSession, d: str) -> DataFrame:
-    # Neighbouring degrees are sought by equality with each degree within reach; per degree only the first nodes can win.
+    # The nearest degree is the own, or the next one below or above that any node has; per degree only the first nodes can win.
     p = G.degrees(edges(spark, d)).filter(F.col("node").startswith("p:"))
     pool = R.top_k(p, ["degree"], 2, "node", name="_n").select("node", "degree")
-    a = p.join(_anchors(spark, d), F.col("node") == F.col("anchor")).select("anchor", F.col("degree").alias("own"), F.explode(F.sequence(F.col("degree") - 2, F.col("degree") + 2)).alias("degree"))
-    c = a.join(pool, "degree").filter("node <> anchor").withColumn("gap", F.abs(F.col("degree") - F.col("own")))
+    w = Window.orderBy("degree")  # distinct degrees: at most the square root of twice the edges
+    steps = p.select("degree").distinct().select(F.col("degree").alias("own"), F.array("degree", F.lag("degree").over(w), F.lead("degree").over(w)).alias("near"))
+    own = p.join(_anchors(spark, d), F.col("node") == F.col("anchor")).select("anchor", F.col("degree").alias("own"))
+    c = own.join(steps, "own").select("anchor", "own", F.explode("near").alias("degree")).join(pool, "degree").filter("node <> anchor").withColumn("gap", F.abs(F.col("degree") - F.col("own")))
     return R.keep_first(c, ["anchor"], "gap", "node").select("anchor", F.col("node").alias("control"))
 
 

@@ -162,12 +162,12 @@ def j08_as_of_legality(spark: SparkSession, d: str) -> DataFrame:
     return li.join(o, near).groupBy("l_orderkey").agg(F.count("*").alias("n_early"))
 
 
-@query("WITH s AS (SELECT s_suppkey, s_acctbal, CAST(floor(s_acctbal / 500) AS BIGINT) AS b FROM supplier), p AS (SELECT a.s_suppkey AS anchor, c.s_suppkey AS near, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY abs(round(c.s_acctbal - a.s_acctbal, 6)), c.s_suppkey) AS rank FROM s a JOIN s c ON c.s_suppkey <> a.s_suppkey AND c.b BETWEEN a.b - 1 AND a.b + 1) SELECT anchor, near, CAST(rank AS INT) AS rank FROM p WHERE rank <= 3")
+@query("WITH p AS (SELECT a.s_suppkey AS anchor, c.s_suppkey AS near, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY abs(round(c.s_acctbal - a.s_acctbal, 6)), c.s_suppkey) AS rank FROM supplier a JOIN supplier c ON c.s_suppkey <> a.s_suppkey) SELECT anchor, near, CAST(rank AS INT) AS rank FROM p WHERE rank <= 3")
 def j12_nearest_by_gap(spark: SparkSession, d: str) -> DataFrame:
     return R.nearest(table(spark, d, "supplier"), "s_suppkey", "s_acctbal", 3)
 
 
-@query("SELECT doc_id, CAST(i AS INT) AS pos, a, b FROM (SELECT doc_id, list_zip(string_split(left(text, 200), ' '), string_split(right(text, 200), ' ')) AS z FROM documents WHERE text IS NOT NULL AND text <> '') , LATERAL (SELECT unnest(range(1, len(z) + 1)) AS i) t, LATERAL (SELECT z[i][1] AS a, z[i][2] AS b) u")
+@query("WITH w AS (SELECT doc_id, string_split(text, ' ') AS a FROM documents WHERE text IS NOT NULL AND text <> '') SELECT doc_id, CAST(i AS INT) AS pos, a[i] AS a, a[len(a) + 1 - i] AS b FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM w)")
 def j13_positional_zip(spark: SparkSession, d: str) -> DataFrame:
     # The aligned lists are all words of a text and the same words from the end.
     docs = table(spark, d, "documents").filter("text is not null and text <> ''").select("doc_id", F.split("text", " ").alias("a"))
@@ -182,7 +182,7 @@ def j14_config_product(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "region").select("r_name", grid.alias("g")).select("r_name", "g.status", "g.metric")
 
 
-@query("SELECT a.doc_id, CAST(count(*) AS BIGINT) AS others FROM documents a JOIN documents b ON a.section = b.section AND a.source = b.source AND a.lang = b.lang AND b.doc_id % 50 = 0 AND b.paper_id IS DISTINCT FROM a.paper_id GROUP BY 1")
+@query("WITH o AS (SELECT section, source, lang, paper_id, count(*) AS same FROM documents GROUP BY ALL), n AS (SELECT section, source, lang, sum(same) AS n FROM o GROUP BY ALL) SELECT doc_id, CAST(n - same AS BIGINT) AS others FROM documents d JOIN n USING (section, source, lang) JOIN o ON o.section = d.section AND o.source = d.source AND o.lang = d.lang AND o.paper_id IS NOT DISTINCT FROM d.paper_id WHERE n > same")
 def j15_group_exclusion(spark: SparkSession, d: str) -> DataFrame:
     # Others are the rows of the group less those of the own paper, from counts: no pairs.
     docs = table(spark, d, "documents").select("doc_id", "section", "source", "lang", "paper_id")
@@ -421,7 +421,7 @@ def w13_share_of_total(spark: SparkSession, d: str) -> DataFrame:
 # --- sort, top-k, sampling
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderdate, o_orderkey LIMIT 100")
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderdate, o_orderkey) - 1 AS position FROM orders")
 def t01_multi_key_sort(spark: SparkSession, d: str) -> DataFrame:
     return R.global_rank(table(spark, d, "orders"), "-o_totalprice", "o_orderdate", "o_orderkey").select("o_orderkey", "o_totalprice", "position")
 
