@@ -39,12 +39,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Every readable as_of and available_at as one UTC instant."""
-    feeds = table(spark, d, "feeds")
-    parts = []
-    for name, value in (("frozen_ids", "as_of"), ("temporal_objects", "available_at")):
-        read = normalise(table(spark, d, name).select("rec_id", value, "feed"), value, "feed", feeds)
-        parts.append(read.filter(F.col("utc_us").isNotNull()).select(F.lit(name).alias("tbl"), "rec_id", "utc_us"))
-    return parts[0].unionByName(parts[1])
+    # What the values of a feed say of its formats counts whichever table they stand in.
+    each = [table(spark, d, name).select(F.lit(name).alias("tbl"), "rec_id", F.col(value).alias("value"), "feed") for name, value in (("frozen_ids", "as_of"), ("temporal_objects", "available_at"))]
+    read = normalise(each[0].unionByName(each[1]), "value", "feed", table(spark, d, "feeds"))
+    return read.filter(F.col("utc_us").isNotNull()).select("tbl", "rec_id", "utc_us")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +83,7 @@ def p4_calls(spark: SparkSession, d: str) -> DataFrame:
 def p2_readings(spark: SparkSession, d: str) -> DataFrame:
     """How the notations of each feed were read, unresolved ambiguity included."""
     read = normalise(table(spark, d, "temporal_objects").select("rec_id", "available_at", "feed"), "available_at", "feed", table(spark, d, "feeds"))
-    return read.groupBy("feed", "reading").agg(F.count("*").alias("n"))
+    return read.groupBy("feed", "reading").agg(F.count("*").alias("n"), F.round(F.min("posterior"), 6).alias("least_posterior"), F.count_if(F.col("posterior") < 1).alias("below_one"))
 
 
 def p5_lifespans(spark: SparkSession, d: str) -> DataFrame:

@@ -64,6 +64,26 @@ def test_mixture_settles_or_marks(spark):
     assert at["04/04/2020", "free"].utc_us == us("2020-04-04") and at["01/13/2020", "free"].reading == "mdy"
 
 
+def test_a_declaration_is_a_prior(spark):
+    """It decides where values say nothing, and gives way to values that cannot be read as declared."""
+    feeds = spark.createDataFrame([("quiet", "UTC", "mdy"), ("wrong", "UTC", "mdy"), ("slip", "UTC", "dmy"), ("iso", "UTC", "ymd"), ("turned", "UTC", "ymd")], "feed string, tz_name string, date_order string")
+    rows = [("03/04/2020", "quiet"), ("03/04/2020", "wrong"), *[(f"{d}/01/2020", "wrong") for d in range(13, 32)] * 2]
+    rows += [*[(f"{d}/01/2020", "slip") for d in range(13, 32)] * 5, ("01/31/2020", "slip"), ("03/04/2020", "slip"), ("2020-03-04", "iso"), ("2020-25-12", "iso"), ("2020-03-25", "iso")]
+    rows += [("2020-03-04", "turned"), *[(f"2020-{d}-01", "turned") for d in range(13, 32)] * 2]
+    at = {(r.v, r.feed): r for r in normalise(spark.createDataFrame(rows, "v string, feed string"), "v", "feed", feeds).collect()}
+    assert at["03/04/2020", "quiet"].utc_us == us("2020-03-04") and 0.95 <= at["03/04/2020", "quiet"].posterior < 1
+    assert at["03/04/2020", "wrong"].utc_us == us("2020-04-03") and at["31/01/2020", "wrong"].utc_us == us("2020-01-31")
+    assert at["03/04/2020", "slip"].utc_us == us("2020-04-03") and at["01/31/2020", "slip"].reading == "unreadable"
+    assert at["2020-03-04", "iso"].reading == "single" and at["2020-03-04", "iso"].utc_us == us("2020-03-04") and at["2020-25-12", "iso"].utc_us is None
+    assert at["2020-03-04", "turned"].reading == "ydm" and at["2020-03-04", "turned"].utc_us == us("2020-04-03")
+
+
+def test_repeated_feeds(spark):
+    feeds = spark.createDataFrame([("f", "UTC", "ymd"), ("f", "UTC", "ymd"), ("f", "Europe/Berlin", "dmy")], "feed string, tz_name string, date_order string")
+    got = normalise(spark.createDataFrame([("2020-01-01", "f")] * 2, "v string, feed string"), "v", "feed", feeds).collect()
+    assert [r.utc_us for r in got] == [us("2019-12-31 23:00:00")] * 2
+
+
 def test_clashing_names(spark):
     feeds = spark.createDataFrame(FEEDS, "feed string, tz_name string, date_order string")
     df = spark.createDataFrame([("2020-01-01", "utc", 1, "x", 2, "y")], "v string, feed string, utc_us int, reading string, _t_v int, `a.b` string")
