@@ -21,7 +21,7 @@ from heronry.session import materialise
 
 FOOTER_SCHEMA = "file_id bigint, path string, type string, empty boolean, n bigint"
 VALUE_SCHEMA = "file_id bigint, side string, rec_key string, path string, value string"
-#: Most fields the consistent table may have; its columns are known to the driver, like any schema.
+#: Most fields that the consistent table has as columns of their own; beyond that it has one map.
 MAX_FIELDS = 2000
 
 
@@ -50,25 +50,65 @@ def leaves(node: object, path: str = "", at: tuple[int, ...] = ()) -> Iterator[t
         yield path, "string", at, node
 
 
-def _record(body: str | None) -> dict[str, list]:
-    """path -> [types, [[positions, value], ...]] of one body; empty if it is no JSON object."""
+def _parsed(body: str | None) -> dict | None:
     try:
         root = json.loads(body) if body else None
     except (ValueError, RecursionError):
-        return {}
+        return None
+    return root if isinstance(root, dict) else None
+
+
+def _record(body: str | None) -> dict[str, list]:
+    """path -> [types, [[positions, value], ...]] of one body; empty if it is no JSON object."""
+    root = _parsed(body)
     out: dict[str, list] = {}
-    for path, kind, at, value in leaves(root) if isinstance(root, dict) else ():
+    for path, kind, at, value in leaves(root) if root is not None else ():
         entry = out.setdefault(path, [set(), []])
         entry[0].add(kind)
         entry[1].append([at, value])
     return out
 
 
+def _kinds(node: object, path: str, out: dict[str, set]) -> None:
+    """path -> types of every end of a JSON value, as ``leaves`` has them, without the values."""
+    if type(node) is str:
+        kind = "string"
+    elif type(node) is dict:
+        for k, v in node.items():
+            if v is not None:
+                _kinds(v, f"{path}.{k}" if path else k, out)
+        return
+    elif type(node) is list:
+        n = 0
+        for x in node:
+            if type(x) is dict:
+                n += 1
+                _kinds(x, path, out)
+        if n == len(node) and n:
+            return
+        kind = "array" if node else "empty"
+    elif type(node) is bool:
+        kind = "boolean"
+    elif node is None:
+        return
+    else:
+        kind = "number"
+    held = out.get(path)
+    if held is None:
+        out[path] = {kind}
+    else:
+        held.add(kind)
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         n: Counter = Counter()
         for file_id, body in zip(b["file_id"], b["body"], strict=True):
-            for path, (kinds, _) in _record(body).items():
+            found: dict[str, set] = {}
+            root = _parsed(body)
+            if root is not None:
+                _kinds(root, "", found)
+            for path, kinds in found.items():
                 real = kinds - {"empty"}
                 n.update((file_id, path, kind, not real) for kind in real or ("array",))
         yield pd.DataFrame([(*k, c) for k, c in n.items()], columns=["file_id", "path", "type", "empty", "n"])
@@ -183,7 +223,8 @@ def changes(records: DataFrame, files: DataFrame) -> DataFrame:
     values in all of them. Empty tables give no rows.
     """
     order = file_order(files)
-    cat = materialise(lifespans(catalogue(footers(records), order)))
+    # The counts of fields are wanted twice, the records are read for them once.
+    cat = materialise(lifespans(catalogue(materialise(footers(records)), order)))
     begun = cat.filter("starts and prev_file is not null").select("file_id", "path", "type")
     ended = cat.filter("stops and next_file is not null").select(F.col("next_file").alias("file_id"), "path", "type")
     here = cat.select("file_id", "path").distinct()
@@ -208,7 +249,12 @@ def changes(records: DataFrame, files: DataFrame) -> DataFrame:
     same = same.select("file_id", "old_field", "new_field")
     known = same.groupBy("old_field", "new_field").agg(F.count("*").alias("known"))
     renamed = same.join(known, ["old_field", "new_field"]).select("file_id", "old_field", "new_field", "known")
-    renamed = materialise(renamed.groupBy("file_id").applyInPandas(_pair_up, "file_id bigint, old_field string, new_field string"))
+    # Most fields have one counterpart; only files in which some field has several are paired up one by one.
+    per_file, per_old, per_new = (Window.partitionBy("file_id", *c) for c in ((), ("old_field",), ("new_field",)))
+    several = (F.count("*").over(per_old) > 1) | (F.count("*").over(per_new) > 1)
+    renamed = materialise(renamed.withColumn("_several", several).withColumn("_several", F.max("_several").over(per_file)))
+    torn = renamed.filter("_several").drop("_several").groupBy("file_id").applyInPandas(_pair_up, "file_id bigint, old_field string, new_field string")
+    renamed = materialise(renamed.filter("not _several").select("file_id", "old_field", "new_field").unionByName(torn))
     added = come.join(renamed.select("file_id", F.col("new_field").alias("path")), ["file_id", "path"], "left_anti")
     removed = gone.join(renamed.select("file_id", F.col("old_field").alias("path")), ["file_id", "path"], "left_anti")
     return (
@@ -218,55 +264,86 @@ def changes(records: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def aliases(changed: DataFrame, cat: DataFrame) -> dict[str, str]:
-    """field -> the one name of it and its renames: the name that most files use. A schema-sized table on the driver."""
-    edges = [(r.old_field, r.new_field) for r in changed.filter("change_kind = 'renamed'").select("old_field", "new_field").distinct().limit(MAX_FIELDS + 1).collect()]
-    uses = {r.path: r.n for r in cat.groupBy("path").agg(F.countDistinct("file_id").alias("n")).limit(MAX_FIELDS + 1).collect()}
-    if len(edges) > MAX_FIELDS or len(uses) > MAX_FIELDS:
-        raise ValueError(f"more than {MAX_FIELDS} fields: not one schema")
-    root = {f: f for f in uses}
+def aliases(changed: DataFrame, cat: DataFrame) -> dict[tuple[str | None, str], str]:
+    """(stream, field) -> the one name of it and of what it was renamed from or to in that stream.
 
-    def find(f: str) -> str:
+    Only fields that were renamed are listed. Of a stream's names for one field the one holds that most files of all
+    streams use, so that streams agree on it. The table has the size of the renames, like the log of changes.
+    """
+    renamed = changed.filter("change_kind = 'renamed'").join(cat.select("file_id", "stream").distinct(), "file_id").select("stream", "old_field", "new_field").distinct()
+    edges = [(r.stream, r.old_field, r.new_field) for r in renamed.collect()]
+    named = renamed.select(F.explode(F.array("old_field", "new_field")).alias("path")).distinct()
+    uses = {r.path: r.n for r in cat.join(named, "path").groupBy("path").agg(F.countDistinct("file_id").alias("n")).collect()}
+    root: dict[tuple, tuple] = {(s, f): (s, f) for s, a, b in edges for f in (a, b)}
+
+    def find(f: tuple) -> tuple:
         while root[f] != f:
             f = root[f]
         return f
 
-    for a, b in edges:
-        root[find(a)] = find(b)
-    groups: dict[str, list[str]] = {}
-    for f in uses:
-        groups.setdefault(find(f), []).append(f)
-    return {f: min(g, key=lambda x: (-uses[x], x)) for g in groups.values() for f in g}
+    for s, a, b in edges:
+        root[find((s, a))] = find((s, b))
+    groups: dict[tuple, list[str]] = {}
+    for f in root:
+        groups.setdefault(find(f), []).append(f[1])
+    return {(top[0], f): min(g, key=lambda x: (-uses.get(x, 0), x)) for top, g in groups.items() for f in g}
 
 
-def unified(records: DataFrame, files: DataFrame, changed: DataFrame) -> DataFrame:
-    """All records in one table: rec_id, stream_name, file_id, rec_key and a column per field under its one name.
+def named(record: dict[str, list], stream: str | None, name: dict) -> tuple[dict[str, str], list[str]]:
+    """field -> text of one record under the fields' one names, and the fields that kept their own.
+
+    Where a record has several fields of one name, the one that bears it, or else the first by name, takes it; the
+    others keep theirs, so that no value is lost.
+    """
+    out: dict[str, str] = {}
+    kept: list[str] = []
+    for path in sorted(record, key=lambda f: (name.get((stream, f), f) != f, f)):
+        found = record[path][1]
+        one = found[0][1] if len(found) == 1 and not found[0][0] else [v for _, v in found]
+        to = name.get((stream, path), path)
+        if to in out:
+            kept.append(path)
+            to = path
+        out[to] = one if isinstance(one, str) else json.dumps(one, ensure_ascii=False)
+    return out, kept
+
 
-    Dots of a path become ``__``. A field that has one type everywhere, outside of arrays, has that type (number:
-    double, boolean); any other is string, the JSON text where it is no plain string. Columns follow from the alias
-    table, so that reading is one pass without a shuffle of the bodies.
+def unified(records: DataFrame, files: DataFrame, changed: DataFrame) -> DataFrame:
+    """All records in one table: rec_id, stream_name, file_id, rec_key, conflicts and a column per field under its one name.
+
+    A field has the one name of its renames in its own stream. ``conflicts`` lists the fields of a record that kept their
+    own name because another field of the record has the one name already; they have a column of their own, and no
+    value is lost. Dots of a path become ``__``. A field that has one type everywhere, outside of arrays, has that type
+    (number: double, boolean); any other is string, the JSON text where it is no plain string. With more than MAX_FIELDS
+    fields there is one map column ``fields`` instead of a column each. Columns follow from the alias table, so that
+    reading is one pass without a shuffle of the bodies.
     """
-    cat = materialise(catalogue(footers(records), file_order(files)))
+    order = file_order(files)
+    cat = materialise(catalogue(materialise(footers(records)), order))
     name = aliases(changed, cat)
+    table = changed.sparkSession.createDataFrame([(s, f, to) for (s, f), to in name.items()], "_stream string, _path string, _to string")
+    to = cat.join(table, F.col("stream").eqNullSafe(F.col("_stream")) & (F.col("path") == F.col("_path")), "left").withColumn("name", F.coalesce("_to", "path"))
+    # A field that stands in a file beside another of its name may keep its own.
+    beside = Window.partitionBy("file_id", "name")
+    to = to.withColumn("_beside", F.size(F.collect_set("path").over(beside)) > 1)
+    columns = to.select(F.explode(F.when(F.col("_beside"), F.array("name", "path")).otherwise(F.array("name"))).alias("name"), "type").distinct().limit(4 * MAX_FIELDS + 1).collect()
     types: dict[str, set[str]] = {}
-    for r in cat.select("path", "type").distinct().collect():
-        types.setdefault(name[r.path], set()).add(r.type)
+    for r in columns:
+        types.setdefault(r.name, set()).add(r.type)
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for body in b["body"]:
-                row: dict[str, str] = {}
-                for path, (_, found) in _record(body).items():
-                    one = found[0][1] if len(found) == 1 and not found[0][0] else [v for _, v in found]
-                    row.setdefault(name.get(path, path), one if isinstance(one, str) else json.dumps(one, ensure_ascii=False))
-                out.append(row)
-            yield b.drop(columns="body").assign(held=out)
-
-    read = records.select("rec_id", "file_id", "rec_key", "body").mapInPandas(values, "rec_id bigint, file_id bigint, rec_key string, held map<string,string>")
+            out = [named(_record(body), stream, name) for body, stream in zip(b["body"], b["stream_name"], strict=True)]
+            yield b.drop(columns="body").assign(held=[h for h, _ in out], conflicts=[c for _, c in out])
+
+    read = records.select("rec_id", "file_id", "rec_key", "body").join(files.select("file_id", "stream_name"), "file_id", "left")
+    read = read.select("rec_id", "stream_name", "file_id", "rec_key", "body").mapInPandas(values, "rec_id bigint, stream_name string, file_id bigint, rec_key string, held map<string,string>, conflicts array<string>")
+    own = ["rec_id", "stream_name", "file_id", "rec_key", "conflicts"]
+    if len(types) > MAX_FIELDS:
+        return read.select(*own, F.col("held").alias("fields"))
     cast = {frozenset({"number"}): "double", frozenset({"boolean"}): "boolean"}
     cols = [
         F.col("held")[f].try_cast(cast.get(frozenset(types[f]), "string") if "." not in f else "string").alias(f.replace(".", "__"))
         for f in sorted(types)
     ]
-    return read.join(files.select("file_id", "stream_name"), "file_id", "left").select("rec_id", "stream_name", "file_id", "rec_key", *cols)
+    return read.select(*own, *cols)
