@@ -45,12 +45,13 @@ def adamic_adar(edges: DataFrame, anchors: DataFrame, candidates: str, k: int, l
     the whole graph; middle nodes and candidates must be ``legal`` (node) if given. Candidates are the nodes whose name
     begins with ``candidates``; anchors are none. Expanding starts from the anchors, never from all pairs.
     """
-    half = both_ways(edges).select("node", "nbr")
-    if legal is not None:
-        half = half.join(legal.select(F.col("node").alias("nbr")), "nbr", "left_semi").select("node", "nbr")
-    first = half.join(anchors.select(F.col("anchor").alias("node")).distinct(), "node").filter("nbr <> node").select(F.col("node").alias("anchor"), F.col("nbr").alias("m"))
-    weight = degrees(edges).select(F.col("node").alias("m"), (1.0 / F.ln(1.0 + F.greatest("degree", F.lit(1)))).alias("w"))
-    two = first.join(weight, "m").join(half.select(F.col("node").alias("m"), "nbr"), "m").groupBy("anchor", F.col("nbr").alias("doc")).agg(F.sum("w").alias("score"))
+    ends = both_ways(edges).select("node", "nbr")
+    allowed = lambda df: df if legal is None else df.join(legal.select(F.col("node").alias("nbr")), "nbr", "left_semi").select("node", "nbr")
+    first = allowed(ends.join(anchors.select(F.col("anchor").alias("node")).distinct(), "node", "left_semi")).filter("nbr <> node").select(F.col("node").alias("anchor"), F.col("nbr").alias("m"))
+    # Only the edges at middle nodes go on: their number is the middle node's degree, and they lead to the candidates.
+    near = ends.join(first.select(F.col("m").alias("node")).distinct(), "node", "left_semi")
+    weight = near.groupBy(F.col("node").alias("m")).agg((1.0 / F.ln(1.0 + F.greatest(F.count("*"), F.lit(1)))).alias("w"))
+    two = first.join(weight, "m").join(allowed(near).select(F.col("node").alias("m"), "nbr"), "m").groupBy("anchor", F.col("nbr").alias("doc")).agg(F.sum("w").alias("score"))
     one = first.select("anchor", F.col("m").alias("doc")).distinct().select("anchor", "doc", F.lit(ONE_HOP_BONUS).alias("score"))
     total = two.unionByName(one).filter(F.col("doc").startswith(candidates) & (F.col("doc") != F.col("anchor"))).groupBy("anchor", "doc").agg(F.sum("score").alias("score"))
     return top_k(total.withColumn("_s", -F.round("score", 9)), ["anchor"], k, "_s", "doc").drop("_s")
@@ -58,10 +59,12 @@ def adamic_adar(edges: DataFrame, anchors: DataFrame, candidates: str, k: int, l
 
 def reach(edges: DataFrame, pairs: DataFrame, legal: DataFrame | None = None) -> DataFrame:
     """(a, b, hops, witness) of asked pairs (a, b): 1 if adjacent, 2 with the least legal middle node, null if neither."""
-    half = both_ways(edges).select("node", "nbr").distinct()
+    # Only edges at an asked end can make a path of at most two.
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    half = both_ways(edges).select("node", "nbr").join(asked, "node", "left_semi").distinct()
     direct = pairs.join(half.select(F.col("node").alias("a"), F.col("nbr").alias("b"), F.lit(1).alias("direct")), ["a", "b"], "left")
     mid = half if legal is None else half.join(legal.select(F.col("node").alias("nbr")), "nbr", "left_semi").select("node", "nbr")
-    via = pairs.join(mid.select(F.col("node").alias("a"), F.col("nbr").alias("m")), "a").join(half.select(F.col("nbr").alias("b"), F.col("node").alias("m")), ["b", "m"])
+    via = pairs.join(mid.select(F.col("node").alias("a"), F.col("nbr").alias("m")), "a").join(half.select(F.col("node").alias("b"), F.col("nbr").alias("m")), ["b", "m"])
     via = via.filter("m <> a and m <> b").groupBy("a", "b").agg(F.min("m").alias("m"))
     hops = F.when(F.col("direct") == 1, 1).when(F.col("m").isNotNull(), 2)
     return direct.join(via, ["a", "b"], "left").select("a", "b", hops.alias("hops"), F.when(F.coalesce("direct", F.lit(0)) == 0, F.col("m")).alias("witness"))

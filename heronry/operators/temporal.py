@@ -17,7 +17,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heronry.session import tune
+from heronry.session import LAID_OUT, tune
 
 LEAF, STRIDE, TOP = 40, 3, 55
 LEVELS = tuple(range(LEAF, TOP, STRIDE))
@@ -95,7 +95,7 @@ def as_of_join(events: DataFrame, intervals: DataFrame, entity: str, at: str, ke
     """
     names = [*keys, entity, at]
     # Both sides are laid out by (entity, part) on purpose, and the planner is to take that for the join on (entity, part, node) too.
-    tune(events.sparkSession)
+    tune(tune(events.sparkSession), LAID_OUT)
     # Own names inside, so that columns of the events may be called anything.
     left = events.select(F.col(f"`{entity}`").alias("_e"), F.col(f"`{at}`").alias("_at"), *[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)])
     own = [f"_k{i}" for i in range(len(keys))]
@@ -112,7 +112,9 @@ def as_of_join(events: DataFrame, intervals: DataFrame, entity: str, at: str, ke
     same = (F.col("_e") == F.col("_e_r")) & (F.col("_salt") == F.col("_salt_r")) & (F.col("_node") == F.col("_node_r"))
     met = left.join(right.hint("shuffle_hash"), same, "left")
     inside = (F.col("_from") <= F.col("_at")) & (F.col("_at") < F.col("_to"))
-    best = F.max(F.when(F.col("_from").isNotNull(), F.struct("_from", "_a")))
-    out = met.filter(inside | (F.col("_node") == NO_NODE)).groupBy("_e", "_salt", *own, "_at").agg(best.alias("_best"))
+    # Latest start, then largest attribute, in two steps whose buffers have fixed widths (where the attribute's has), so that they hash.
+    event = ["_e", "_salt", *own, "_at"]
+    one = met.filter(inside | (F.col("_node") == NO_NODE)).groupBy(*event, "_from").agg(F.max("_a").alias("_a"))
+    out = one.groupBy(*event).agg(F.max_by("_a", "_from").alias("_a"))
     renamed = dict(zip(names, [*own, "_e", "_at"], strict=True))
-    return out.select(*[F.col(renamed[n]).alias(n) for n in names], F.col("_best._a").alias("attribute"))
+    return out.select(*[F.col(renamed[n]).alias(n) for n in names], F.col("_a").alias("attribute"))

@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 SETTINGS = {
     # Generated methods beyond this many bytes are never compiled by HotSpot; wide expressions are split instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    # Where both sides of a join are laid out by some of its keys on purpose, that layout serves the join.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
+#: Where both sides of a join are laid out by some of its keys on purpose, that layout serves the join. Only the as-of join needs it.
+LAID_OUT = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    for k, v in SETTINGS.items():
+def tune(spark: SparkSession, settings: dict[str, str] = SETTINGS) -> SparkSession:
+    for k, v in settings.items():
         if spark.conf.get(k) != v:
             spark.conf.set(k, v)
     return spark
@@ -45,11 +45,14 @@ def settled(df: DataFrame, keep: list[str], derived: list[Column]) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that setting is unset (local tests) a folder of our own is made.
+    Only where that setting is unset and the master is local a folder of our own is made; on a cluster each machine
+    would have another one, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         folder = tempfile.mkdtemp(prefix="heronry-")
@@ -66,6 +69,23 @@ def materialise(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder for a table written between two stages."""
-    return os.path.join(shared_dir(spark), f"heronry-{name}-{uuid.uuid4().hex}")
+    """A fresh path in the shared folder for a table written between two stages; ``tidy`` removes it."""
+    if not _SCRATCH:
+        atexit.register(tidy, spark)
+    _SCRATCH.append(os.path.join(shared_dir(spark), f"heronry-{name}-{uuid.uuid4().hex}"))
+    return _SCRATCH[-1]
+
+
+def tidy(spark: SparkSession) -> None:
+    """Removes the scratch tables of this process; results that still read them must have been used. Runs at the end too."""
+    while _SCRATCH:
+        path = _SCRATCH.pop()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session is gone
+            return
