@@ -79,6 +79,12 @@ def ids_table(df: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
     return df.filter(_complete(F.col(body))).select(*keys, F.inline(F.flatten(per_call)))
 
 
+def shown_ids(df: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
+    """Distinct ids of each record as one list, ``shown``; a record has at most what its one body holds. No shuffle."""
+    ids = F.array_distinct(F.flatten(F.transform(_calls(F.col(body)), lambda c: F.coalesce(_ids(c), F.array().cast("array<string>")))))
+    return df.filter(_complete(F.col(body))).select(*keys, ids.alias("shown"))
+
+
 def returned_ids(df: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
     """Distinct ids of each record only, for consumers that need no calls: ``keys``, paper_id; no shuffle."""
     ids = F.array_distinct(F.flatten(F.transform(_calls(F.col(body)), lambda c: F.coalesce(_ids(c), F.array().cast("array<string>")))))

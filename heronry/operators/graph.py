@@ -20,6 +20,11 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("rel", F.inline(ends)).select("node", "nbr", "rel", "dir")
 
 
+def flat(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the variant that keeps every node and no edge."""
+    return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), edges.filter("false")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, degree), parallel edges counted."""
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))

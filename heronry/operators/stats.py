@@ -6,6 +6,8 @@ Poisson(1) weight (bootstrap) or a sign (permutation) per replicate, and replica
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -105,6 +107,21 @@ def replay(pairs: DataFrame, n_boot: int, seed: int, keys: tuple[str, ...], orde
     return pairs.groupBy(*keys).applyInPandas(one, schema)
 
 
+def replay_plain(pairs: DataFrame, n_boot: int, seed: int, keys: tuple[str, ...], order: str) -> DataFrame:
+    """(keys, n, mean, lo, hi) with the draws of ``random.Random(seed)``, pairs in ``order``; bounds as in ``replay``."""
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        if len(g) > MAX_REPLAY:
+            raise ValueError(f"{len(g)} pairs: use the hashed resampling")
+        x = g.sort_values(order)["diff"].tolist()
+        n, rng = len(x), random.Random(seed)
+        means = sorted(sum(x[rng.randrange(n)] for _ in range(n)) / n for _ in range(n_boot))
+        return pd.DataFrame([[*(g[k].iloc[0] for k in keys), n, sum(x) / n, means[int(0.025 * n_boot)], means[min(n_boot - 1, int(0.975 * n_boot))]]], columns=[*keys, "n", "mean", "lo", "hi"])
+
+    kinds = dict(pairs.dtypes)
+    return pairs.groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n bigint, mean double, lo double, hi double")
+
+
 def trend(doses: DataFrame, dose: str, value: str, keys: tuple[str, ...], n_perm: int, seed: int) -> DataFrame:
     """Spearman correlation of dose and value per comparison, with a permutation p-value; ties take the last place.
 

@@ -176,12 +176,19 @@ def m14_gated_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def x01_sorted_index_interval(spark: SparkSession, d: str) -> DataFrame:
+def x03_sorted_index_interval(spark: SparkSession, d: str) -> DataFrame:
     """Interval by sorted index instead of interpolation, with numpy's draws."""
     p = PR._pairs(spark, d).withColumn("pair", F.lit("click-view"))
     return X.replay(p, 1000, 3, ("pair",), "user_id", interpolate=False)
 
 
+@query()
+def x01_mersenne_interval(spark: SparkSession, d: str) -> DataFrame:
+    """Interval by sorted index with the draws of the standard library's generator."""
+    p = PR._pairs(spark, d).withColumn("pair", F.lit("click-view"))
+    return X.replay_plain(p, 1000, 3, ("pair",), "user_id")
+
+
 @query("WITH u AS (SELECT user_id, avg((event_type <> 'error')::INT) AS uptake FROM events GROUP BY 1) SELECT user_id, CASE WHEN uptake < 0.9 THEN 'Inconclusive uptake' ELSE 'Supported' END AS claim FROM u")
 def x08_uptake_gate(spark: SparkSession, d: str) -> DataFrame:
     u = table(spark, d, "events").groupBy("user_id").agg(F.avg((F.col("event_type") != "error").cast("double")).alias("uptake"))

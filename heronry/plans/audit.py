@@ -17,6 +17,11 @@ turned AS (SELECT delivery_id, 0 AS turn, json_extract(body, '$.tool_calls') AS
 calls AS (SELECT delivery_id, row_number() OVER (PARTITION BY delivery_id ORDER BY turn, j.i) AS call_no, json_extract_string(tc, '$[' || j.i || '].tool') AS tool, coalesce(json_array_length(json_extract(tc, '$[' || j.i || '].returned_ids')), 0) AS n_ids FROM turned, range(0, 40) j(i) WHERE json_type(tc) = 'ARRAY' AND j.i < json_array_length(tc))"""
 ROWS = "rows AS (SELECT delivery_id, lower(trim(model)) AS model, condition, instance_id, CAST(json_extract(body, '$.latency_ms') AS BIGINT) AS latency_ms, CAST(json_extract(body, '$.n_tool_calls') AS INT) AS n_tool_calls, CAST(json_extract(body, '$.valid') AS BOOLEAN) AS valid, json_extract_string(body, '$.ranked[*]') AS ranked FROM episodes WHERE json_valid(coalesce(body, '')) AND coalesce(body, '') <> '')"
 
+#: Calls with their error and ids, the classes of errors, and the ids that an episode was shown.
+_ERR = "CASE WHEN error IS NULL OR error = '' THEN 'none' WHEN contains(lower(error), 'timeout') THEN 'timeout' WHEN contains(lower(error), 'unknown') THEN 'unknown_id' WHEN contains(lower(error), 'blocked') THEN 'blocked' WHEN contains(lower(error), 'budget') THEN 'budget' WHEN contains(lower(error), 'json') OR contains(lower(error), 'parse') THEN 'malformed' ELSE 'other' END"
+FULL = CALLS.replace("json_extract_string(tc, '$[' || j.i || '].tool') AS tool,", "json_extract_string(tc, '$[' || j.i || '].tool') AS tool, json_extract_string(tc, '$[' || j.i || '].error') AS error, json_extract(tc, '$[' || j.i || '].returned_ids') AS ids,")
+SEEN = "seen AS (SELECT DISTINCT delivery_id, id FROM (SELECT delivery_id, CASE WHEN json_type(x) = 'OBJECT' THEN json_extract_string(x, '$.id') ELSE json_extract_string(x, '$') END AS id FROM (SELECT delivery_id, json_extract(ids, '$[' || k.i || ']') AS x FROM calls, range(0, 128) k(i) WHERE k.i < n_ids)) WHERE id IS NOT NULL)"
+
 
 def _calls(spark: SparkSession, d: str) -> DataFrame:
     return flatten.calls_table(table(spark, d, "episodes"), ["delivery_id"])
@@ -56,9 +61,12 @@ def e07_call_validation(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", E.validate_call(a).alias("v")).select("p_partkey", "v.*")
 
 
-@query(f"WITH {ROWS} SELECT delivery_id, CASE WHEN len(ranked) <> len(list_distinct(ranked)) THEN 'repeated' WHEN len(ranked) < 5 THEN 'short_answer' ELSE '' END AS problem FROM rows")
+@query(f"WITH {FULL}, {SEEN}, {ROWS}, u AS (SELECT DISTINCT delivery_id FROM (SELECT delivery_id, unnest(ranked) AS id FROM rows) r WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.delivery_id = r.delivery_id AND s.id = r.id)) SELECT delivery_id, CASE WHEN len(ranked) <> len(list_distinct(ranked)) THEN 'repeated' WHEN len(ranked) < 5 THEN 'short_answer' WHEN delivery_id IN (SELECT delivery_id FROM u) THEN 'unobserved' ELSE '' END AS problem FROM rows")
 def e08_answer_validation(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, d).select("delivery_id", E.validate_answer(F.col("ranked"), F.col("ranked"), 5).alias("problem"))
+    # What an episode was shown is one list per body; body and list are of one row, so nothing is gathered.
+    shown = flatten.shown_ids(table(spark, d, "episodes"), ["delivery_id"])
+    j = _rows(spark, d).join(shown, "delivery_id", "left")
+    return j.select("delivery_id", E.validate_answer(F.col("ranked"), F.coalesce("shown", F.array().cast("array<string>")), 5).alias("problem"))
 
 
 @query(f"WITH {ROWS} SELECT delivery_id, CAST(least(len(list_distinct(ranked)), 3) AS INT) AS n, coalesce(ranked[1], '') AS first FROM rows")
@@ -90,18 +98,27 @@ def e18_freeze(spark: SparkSession, d: str) -> DataFrame:
 # --- audits and summaries
 
 
-@query("SELECT f.rec_id, f.source_paper_id IS NULL AS unknown, count(t.rec_id) > 0 AS known FROM frozen_ids f LEFT JOIN temporal_objects t ON t.obj_id = 'paper:' || f.source_paper_id GROUP BY 1, 2")
+@query("WITH p AS (SELECT regexp_replace(arxiv_id, 'v[0-9]+$', '') AS b, min(submit_date) AS known FROM papers WHERE arxiv_id IS NOT NULL GROUP BY 1) SELECT rec_id, CASE WHEN known IS NULL THEN 'unknown' WHEN known > frozen_at THEN 'illegal' ELSE 'legal' END AS status FROM frozen_ids LEFT JOIN p ON b = regexp_replace(source_paper_id, 'v[0-9]+$', '')")
 def q01_temporal_audit(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "temporal_objects").select(F.expr("substring(obj_id, 7)").alias("source_paper_id")).filter("source_paper_id is not null").distinct().withColumn("k", F.lit(True))
-    f = table(spark, d, "frozen_ids").join(known, "source_paper_id", "left")
-    return f.select("rec_id", F.col("source_paper_id").isNull().alias("unknown"), F.coalesce("k", F.lit(False)).alias("known"))
+    # What has no date is unknown, which is no violation; what became known after the freeze is one.
+    f = table(spark, d, "frozen_ids").select("rec_id", "frozen_at", base_id("source_paper_id").alias("b"))
+    status = F.when(F.col("known").isNull(), "unknown").when(F.col("known") > F.col("frozen_at"), "illegal").otherwise("legal")
+    return f.join(_known(spark, d), "b", "left").select("rec_id", status.alias("status"))
+
+
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    """(b, known): the day from which a paper is known."""
+    return table(spark, d, "papers").filter("arxiv_id is not null").groupBy(base_id("arxiv_id").alias("b")).agg(F.min("submit_date").alias("known"))
 
 
-@query("SELECT doc_id, string_agg(arm, '|' ORDER BY arm) AS arms FROM (SELECT DISTINCT doc_id, arm FROM (SELECT doc_id, 'long' AS arm FROM documents WHERE n_chars > 1500 UNION ALL SELECT doc_id, 'owned' FROM documents WHERE paper_id IS NOT NULL UNION ALL SELECT doc_id, 'english' FROM documents WHERE lower(lang) = 'en')) GROUP BY 1")
+@query("WITH p AS (SELECT regexp_replace(arxiv_id, 'v[0-9]+$', '') AS b, min(submit_date) AS known FROM papers WHERE arxiv_id IS NOT NULL GROUP BY 1) SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (paper_id IS NULL) AS BIGINT) AS ownerless, CAST(count(*) FILTER (paper_id IS NOT NULL AND known IS NULL) AS BIGINT) AS undated, CAST(count(*) FILTER (known > ingested_at) AS BIGINT) AS future, bool_and(coalesce(known <= ingested_at, true)) AS passed FROM documents LEFT JOIN p ON b = regexp_replace(paper_id, 'v[0-9]+$', '') GROUP BY 1")
 def q02_candidate_audit(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col
-    arms = F.array_compact(F.array(F.when(F.lower("lang") == "en", "english"), F.when(c("n_chars") > 1500, "long"), F.when(c("paper_id").isNotNull(), "owned")))
-    return table(spark, d, "documents").select("doc_id", F.array_join(arms, "|").alias("arms")).filter("arms <> ''")
+    j = table(spark, d, "documents").select("source", "paper_id", "ingested_at", base_id("paper_id").alias("b")).join(_known(spark, d), "b", "left")
+    future = F.coalesce(F.col("known") > F.col("ingested_at"), F.lit(False))
+    return j.groupBy("source").agg(
+        F.count("*").alias("n"), F.count_if(F.col("paper_id").isNull()).alias("ownerless"), F.count_if(F.col("paper_id").isNotNull() & F.col("known").isNull()).alias("undated"),
+        F.count_if(future).alias("future"), F.bool_and(~future).alias("passed"),
+    )
 
 
 @query("SELECT o_orderkey AS k, role, id FROM (SELECT o_orderkey, 'source' AS role, o_orderkey AS id FROM orders UNION ALL SELECT o_orderkey, 'anchor', o_custkey FROM orders)")
@@ -121,13 +138,18 @@ def q06_tool_utilisation(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("model", "tool").agg(F.sum("k").alias("calls"), F.count("*").alias("episodes"))
 
 
-@query(f"WITH {CALLS}, {ROWS}, s AS (SELECT delivery_id, sum(n_ids) AS shown FROM calls GROUP BY 1) SELECT condition, CASE WHEN NOT valid THEN 'invalid_answer' WHEN coalesce(shown, 0) = 0 THEN 'nothing_observed' WHEN len(ranked) = 0 THEN 'empty_answer' ELSE 'answered' END AS category, CAST(count(*) AS BIGINT) AS n FROM rows LEFT JOIN s USING (delivery_id) GROUP BY 1, 2")
+@query(f"WITH {FULL}, {ROWS}, s AS (SELECT delivery_id, sum(n_ids) AS shown, count(*) FILTER (coalesce(error, '') <> '') AS errors FROM calls GROUP BY 1) SELECT condition, CASE WHEN coalesce(errors, 0) > 0 THEN 'tool_error' WHEN NOT valid THEN 'invalid_answer' WHEN coalesce(shown, 0) = 0 THEN 'nothing_observed' WHEN len(ranked) = 0 THEN 'empty_answer' ELSE 'answered' END AS category, CAST(count(*) AS BIGINT) AS n FROM rows LEFT JOIN s USING (delivery_id) GROUP BY 1, 2")
 def q07_failure_taxonomy(spark: SparkSession, d: str) -> DataFrame:
-    j = _rows(spark, d).join(E.steps(_calls(spark, d)), "delivery_id", "left")
-    return j.groupBy("condition", E.failure(F.col("valid"), F.coalesce("ids_shown", F.lit(0)), F.col("ranked"), F.lit(0)).alias("category")).agg(F.count("*").alias("n"))
+    # Counters of an episode come from its own body.
+    calls = flatten._calls(F.col("body"))
+    errors = F.size(F.filter(calls, lambda c: F.coalesce(c["error"], F.lit("")) != ""))
+    shown = F.aggregate(F.transform(calls, lambda c: F.coalesce(F.size(flatten._ids(c)), F.lit(0))), F.lit(0), lambda a, n: a + F.greatest(n, F.lit(0)))
+    per = table(spark, d, "episodes").select("delivery_id", errors.alias("errors"), shown.alias("shown"))
+    j = _rows(spark, d).join(per, "delivery_id")
+    return j.groupBy("condition", E.failure(F.col("valid"), F.col("shown"), F.col("ranked"), F.col("errors")).alias("category")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {FULL}, {SEEN}, {ROWS}, b AS (SELECT DISTINCT delivery_id, regexp_replace(id, 'v[0-9]+$', '') AS id FROM seen), bad AS (SELECT DISTINCT delivery_id FROM (SELECT delivery_id, regexp_replace(unnest(ranked), 'v[0-9]+$', '') AS id FROM rows) r WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM b WHERE b.delivery_id = r.delivery_id AND b.id = r.id)) SELECT condition, CAST(count(*) AS BIGINT) AS n, round(avg((delivery_id NOT IN (SELECT delivery_id FROM bad))::INT), 6) AS faithful FROM rows GROUP BY 1")
 def q08_faithfulness(spark: SparkSession, d: str) -> DataFrame:
     """Share of episodes whose ranked ids were all returned by one of their calls, per condition."""
     seen = flatten.returned_ids(table(spark, d, "episodes"), ["delivery_id"]).select("delivery_id", base_id("paper_id").alias("id")).distinct().withColumn("s", F.lit(1))
@@ -184,7 +206,7 @@ def e06_batch_rows(spark: SparkSession, d: str) -> DataFrame:
     return r.agg(F.count_distinct("condition").alias("conditions"), (F.max("latency_ms") - F.min("latency_ms")).alias("spread"))
 
 
-@query()
+@query(f"WITH {FULL} SELECT {_ERR} AS class, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (n_ids > 0) AS BIGINT) AS with_ids FROM calls WHERE coalesce(error, '') <> '' GROUP BY 1")
 def q13_error_verification(spark: SparkSession, d: str) -> DataFrame:
     """Checks over calls that carry an error: class, and whether ids came with it all the same."""
     c = F.explode(F.transform(flatten._calls(F.col("body")), lambda c: F.struct(F.coalesce(c["error"], F.lit("")).alias("error"), F.coalesce(F.size(flatten._ids(c)), F.lit(0)).alias("n")))).alias("c")

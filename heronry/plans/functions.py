@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heronry.functions import text as T
+from heronry.plans import audit as A
 from heronry.plans.registry import query
 from heronry.session import table
 
@@ -43,6 +44,24 @@ def f06_delexicalise(spark: SparkSession, d: str) -> DataFrame:
     return p.select("row_id", F.replace("abstract", F.split_part("title", F.lit(":"), F.lit(1)), F.lit("[TITLE]")).alias("delexed"), T.acronym("title").alias("acronym"))
 
 
+_CITED = "'As \\cite{other} has it, \\citep[see][p.~3]{a.b,' || arxiv_id || '} extends ' || arxiv_id || ' and \\citet*{' || arxiv_id || 'x}.'"
+
+
+@query(f"SELECT row_id, 'As [CITATION] has it, [MASKED_CITATION] extends ' || arxiv_id || ' and [CITATION].' AS masked FROM papers WHERE arxiv_id IS NOT NULL")
+def f06_mask_target(spark: SparkSession, d: str) -> DataFrame:
+    # The command that holds the target key is masked; others, a longer key among them, become plain citations.
+    p = table(spark, d, "papers").filter("arxiv_id is not null")
+    return p.select("row_id", T.mask_target(F.expr(_CITED.replace("\\", "\\\\")), "arxiv_id").alias("masked"))
+
+
+@query("SELECT row_id, 'See [TITLE] and [TITLE]; ' || right(coalesce(abstract, ''), 40) AS delexed FROM papers WHERE length(title) > 12 AND position(lower(title) IN lower(right(coalesce(abstract, ''), 40))) = 0 AND regexp_full_match(title, '[ -~]*')")
+def f06_delexicalised_title(spark: SparkSession, d: str) -> DataFrame:
+    # Mentions of the title go whatever their case.
+    tail = F.right(F.coalesce("abstract", F.lit("")), F.lit(40))
+    p = table(spark, d, "papers").filter((F.length("title") > 12) & ~F.contains(F.lower(tail), F.lower("title")) & F.col("title").rlike("^[ -~]*$"))
+    return p.select("row_id", T.delexicalise(F.concat(F.lit("See "), "title", F.lit(" and "), F.upper("title"), F.lit("; "), tail), "title").alias("delexed"))
+
+
 @query("SELECT row_id, left(regexp_replace(lower(title), '[^a-z0-9]+', '', 'g'), 120) AS t FROM papers")
 def f07_normalised_title(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "papers").select("row_id", T.normalised_title("title").alias("t"))
@@ -154,13 +173,13 @@ def f25_pool_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(T.list_hash(ids).alias("h"))
 
 
-@query()
+@query(f"WITH {A.FULL} SELECT {A._ERR} AS class, CAST(count(*) AS BIGINT) AS n FROM calls GROUP BY 1")
 def f26_error_classes(spark: SparkSession, d: str) -> DataFrame:
     """Classes of tool-call errors and their counts."""
     from heronry.operators import flatten
 
     err = F.explode(F.transform(flatten._calls(F.col("body")), lambda c: F.coalesce(c["error"], F.lit("")))).alias("error")
-    return table(spark, d, "episodes").select(err).groupBy(T.error_class("error").alias("class")).agg(F.count("*").alias("n"))
+    return table(spark, d, "episodes").filter(flatten._complete(F.col("body"))).select(err).groupBy(T.error_class("error").alias("class")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_partkey, TRY_CAST(regexp_replace('p' || p_size, '^p+', '') AS INT) AS n, TRY_CAST(regexp_replace(p_name, '^p+', '') AS INT) AS bad FROM part")

@@ -97,9 +97,11 @@ def g31_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return G.both_ways(edges(spark, d)).join(_anchors(spark, d), F.col("node") == F.col("anchor")).groupBy("anchor", "nbr").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {EDGES} SELECT src, dst, rel FROM edges WHERE false")
+@query(f"WITH {EDGES} SELECT CAST(count(DISTINCT n) AS BIGINT) AS nodes, CAST(0 AS BIGINT) AS edges FROM (SELECT src AS n FROM edges UNION ALL SELECT dst FROM edges)")
 def g05_flat(spark: SparkSession, d: str) -> DataFrame:
-    return edges(spark, d).filter("false")
+    # All nodes stay, no edge does; an edge left over would be counted.
+    nodes, kept = G.flat(edges(spark, d))
+    return nodes.agg(F.count("*").alias("nodes")).crossJoin(F.broadcast(kept.agg(F.count("*").alias("edges"))))  # one row each
 
 
 @query(f"WITH {EDGES} SELECT 'connected' AS rel, CAST(count(*) AS BIGINT) AS n FROM edges")
@@ -219,10 +221,13 @@ def g21_paths(spark: SparkSession, d: str) -> DataFrame:
     return G.simple_paths(edges(spark, d).filter("rel = 'has_part'"), _pairs(spark, d), 4, 5)
 
 
-@query(f"WITH {AA.replace('anchors AS (SELECT', 'true_anchors AS (SELECT 1), anchors AS (SELECT').replace('FROM part WHERE p_partkey % 50 = 0', 'FROM part WHERE p_partkey % 50 = 25')} SELECT anchor, doc, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY round(score, 9) DESC, doc) AS rank FROM aa) WHERE rank <= 10")
+_DRAWN = "SELECT 'p:' || p_partkey FROM part WHERE p_partkey % 50 <> 0 ORDER BY sha256(p_partkey || '|23'), p_partkey LIMIT 20"
+
+
+@query(f"WITH {AA.replace('anchors AS (SELECT', 'true_anchors AS (SELECT 1), anchors AS (SELECT').replace('FROM part WHERE p_partkey % 50 = 0', 'FROM part WHERE (%s) IN (SELECT * FROM (%s))' % (chr(39) + 'p:' + chr(39) + ' || p_partkey', _DRAWN))} SELECT anchor, doc, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY round(score, 9) DESC, doc) AS rank FROM aa) WHERE rank <= 10")
 def g23_other_anchor(spark: SparkSession, d: str) -> DataFrame:
-    # Control: anchors that are none of the queries' own.
-    other = table(spark, d, "part").filter("p_partkey % 50 = 25").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("anchor"))
+    # Control: as many anchors as a run asks for, drawn by seed from all parts that are no query's own.
+    other = R.seeded_sample(table(spark, d, "part").filter("p_partkey % 50 <> 0"), 20, 23, "p_partkey").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("anchor"))
     return G.adamic_adar(edges(spark, d), other, "p:", 10).select("anchor", "doc", "rank")
 
 

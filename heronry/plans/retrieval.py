@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from heronry.operators import relational as R
 from heronry.operators import retrieval as S
 from heronry.operators import stats as X
 from heronry.operators import topk_bm25
-from heronry.plans.registry import query
+from heronry.plans.registry import ORACLE, query
 from heronry.session import table
 
 DATED = "date_add(date'2024-01-01', cast(doc_id % 365 as int))"
@@ -114,11 +116,13 @@ def r10_normalised_fusion(spark: SparkSession, d: str) -> DataFrame:
     return S.normalised_fusion(b, a.select("query", "doc", F.col("value").alias("score")), 10).select("query", "doc", "rank")
 
 
-@query(f"WITH {EVENT_LISTS} SELECT arm, query, CAST(rank AS INT) AS rank, doc FROM (SELECT 'by_value' AS arm, query, doc, rank FROM a UNION ALL SELECT 'by_time', query, doc, rank FROM b) WHERE rank <= 5")
+@query(f"WITH {EVENT_LISTS} SELECT arm, query, CAST(rank AS INT) AS rank, doc FROM (SELECT 'by_value' AS arm, query, doc, rank FROM a UNION ALL SELECT 'by_time', query, doc, rank FROM b UNION ALL SELECT 'rrf', query, doc, rank FROM ({ORACLE['r09_rrf']}) UNION ALL SELECT 'norm', query, doc, rank FROM ({ORACLE['r10_normalised_fusion']})) WHERE rank <= 5")
 def r11_arms(spark: SparkSession, d: str) -> DataFrame:
+    # Two rankings, each alone and fused by reciprocal ranks and by normalised scores, as one long frame.
     a, b = _lists(spark, d)
-    both = a.select(F.lit("by_value").alias("arm"), "query", "rank", "doc").unionByName(b.select(F.lit("by_time").alias("arm"), "query", "rank", "doc"))
-    return both.filter("rank <= 5")
+    norm = S.normalised_fusion(b, a.select("query", "doc", F.col("value").alias("score")), 10)
+    arms = {"by_value": a, "by_time": b, "rrf": S.reciprocal_rank_fusion([a, b], 10), "norm": norm}
+    return reduce(lambda x, y: x.unionByName(y), [r.filter("rank <= 5").select(F.lit(arm).alias("arm"), "query", "rank", "doc") for arm, r in arms.items()])
 
 
 @query(f"WITH {BM25_SQL.replace('SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(item_text)', 'SELECT DISTINCT row_id AS query, unnest(regexp_extract_all(lower(coalesce(title, %s) || %s || coalesce(abstract, %s))' % (chr(39) * 2, chr(39) + ' ' + chr(39), chr(39) * 2)).replace('FROM eval_items', 'FROM papers WHERE row_id % 50 = 0')} SELECT query, doc, CAST(rank AS INT) AS rank FROM ranking WHERE rank <= 10")
@@ -160,7 +164,16 @@ _metric("m05_ndcg", "ndcg_10", "CASE WHEN max(n) > 0 THEN sum(CASE WHEN hit AND
 _metric("m06_oracle_recall", "oracle_recall_5", "coalesce(sum(CASE WHEN hit AND rank <= 5 THEN 1.0e0 ELSE 0 END) / nullif(least(max(n), 5), 0), 0)")
 _metric("m08_average_precision", "ap_20", "coalesce(sum(CASE WHEN hit AND rank <= 20 THEN prec ELSE 0 END) / nullif(least(max(n), 20), 0), 0)")
 _metric("m10_set_f1", "set_f1_10", "2 * sum(CASE WHEN hit AND rank <= 10 THEN 1.0e0 ELSE 0 END) / (10 + max(n))")
-_metric("m11_r_precision", "r_precision", "coalesce(sum(CASE WHEN hit AND rank <= n THEN 1.0e0 ELSE 0 END) / nullif(max(n), 0), 0)")
+
+
+_LISTED = "coalesce(sum(CASE WHEN hit AND rank <= 20 THEN 1.0e0 ELSE 0 END) / nullif(max(n), 0), 0)", "CASE WHEN max(n) > 0 THEN sum(CASE WHEN hit AND rank <= 20 THEN 1 / log2(rank + 1) ELSE 0 END) / list_sum([1 / log2(i + 1) FOR i IN range(1, least(max(n), 20)::BIGINT + 1)]) ELSE 0 END"
+
+
+@query(f"WITH {METRICS_SQL} SELECT query, round(coalesce(sum(CASE WHEN hit AND rank <= n THEN 1.0e0 ELSE 0 END) / nullif(max(n), 0), 0), 6) AS r_precision, round({_LISTED[0]}, 6) AS recall_20, round({_LISTED[0].replace('20', '50')}, 6) AS recall_50, round({_LISTED[1]}, 6) AS ndcg_20, round({_LISTED[1].replace('20', '50')}, 6) AS ndcg_50, round(coalesce(sum(CASE WHEN hit AND rank <= 50 THEN prec ELSE 0 END) / nullif(least(max(n), 50), 0), 0), 6) AS ap_50 FROM r GROUP BY 1")
+def m11_r_precision(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").filter("event_type = 'purchase'").select(F.col("user_id").alias("query"), F.col("event_id").alias("doc"))
+    m = M.evaluate(_lists(spark, d)[0], e, (20, 50))
+    return m.select("query", *[F.round(c, 6).alias(c) for c in ("r_precision", "recall_20", "recall_50", "ndcg_20", "ndcg_50", "ap_50")])
 
 
 @query(f"WITH {METRICS_SQL} SELECT query, max((hit AND rank = 1)::INT) AS top1 FROM r GROUP BY 1")
@@ -254,12 +267,25 @@ def x09_dose_trend(spark: SparkSession, d: str) -> DataFrame:
     return X.trend(li, "dose", "l_quantity", ("l_returnflag",), 500, 5)
 
 
-@query(f"WITH {PAIRS_SQL} SELECT round(avg(diff), 6) AS diff, avg(diff) >= 0.05 AND min(diff) > 0 AS launch FROM pairs")
+def _whole(name: str) -> str:
+    return f"(SELECT * FROM ({ORACLE[name]}))"
+
+
+def _compared(spark: SparkSession, d: str) -> DataFrame:
+    """n, mean, lo, hi, p_value of one comparison."""
+    p = _pairs(spark, d)
+    return X.bootstrap(p, "user_id", 200, 17).crossJoin(F.broadcast(X.sign_flip(p, "user_id", 200, 18)))  # one row each
+
+
+@query(f"SELECT mean AS diff, lo, round(mean, 6) >= 0.05 AND lo > 0 AS launch FROM {_whole('x02_bootstrap')}")
 def x10_launch_gate(spark: SparkSession, d: str) -> DataFrame:
-    g = _pairs(spark, d).agg(F.avg("diff").alias("m"), F.min("diff").alias("lo"))
-    return g.select(F.round("m", 6).alias("diff"), X.gate(F.col("m"), F.col("lo"), F.lit(0)).alias("launch"))
+    # Large enough, and the interval of the difference is above zero.
+    r = lambda c: F.round(c, 6)
+    return _compared(spark, d).select(r("mean").alias("diff"), r("lo").alias("lo"), X.gate(r("mean"), r("lo"), F.lit(0)).alias("launch"))
 
 
-@query(f"WITH {PAIRS_SQL} SELECT CAST(count(*) AS BIGINT) AS n, round(avg(diff), 6) AS diff, avg(diff) > 0 AS positive FROM pairs")
+@query(f"SELECT b.n, b.mean AS diff, b.lo, b.hi, p.p_value, b.mean > 0 AS positive, b.lo > 0 OR b.hi < 0 AS apart, p.p_value < 0.05 AS significant FROM {_whole('x02_bootstrap')} b, {_whole('x04_sign_flip')} p")
 def x12_paired_comparison(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("diff"), 6).alias("diff"), (F.avg("diff") > 0).alias("positive"))
+    r = lambda c: F.round(c, 6)
+    c = _compared(spark, d).select("n", r("mean").alias("diff"), r("lo").alias("lo"), r("hi").alias("hi"), r("p_value").alias("p_value"))
+    return c.select("*", (F.col("diff") > 0).alias("positive"), ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("apart"), (F.col("p_value") < 0.05).alias("significant"))

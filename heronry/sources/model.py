@@ -48,3 +48,12 @@ def ask(prompts: DataFrame, stored: DataFrame, model: str, version: str, client:
             yield b.assign(response=out)[["key", "prompt", "response"]]
 
     return held.select("key", "prompt", "response").unionByName(missing.select("key", "prompt").mapInPandas(run, "key string, prompt string, response string"))
+
+
+def append_missing(prompts: DataFrame, path: str, model: str, version: str, client: Client = offline) -> None:
+    """Asks what the store at ``path`` (key, response) has no answer to and appends the answers; nothing is asked twice."""
+    spark = prompts.sparkSession
+    stored = spark.read.parquet(path)
+    keyed = prompts.select("prompt").distinct().withColumn("key", request_key(model, version))
+    missing = keyed.join(stored.select("key"), "key", "left_anti").select("prompt")
+    ask(missing, stored.limit(0), model, version, client).select("key", "response").write.mode("append").parquet(path)
