@@ -5,9 +5,10 @@ into the few nodes that cover it exactly, down to leaves of ``2^LEAF`` microseco
 encloses it, one per level. Interval and event meet in one equi-join on (entity, node), at most once, and an exact
 half-open test drops what a leaf covers too widely. No range condition is left to a nested loop.
 
-Levels are ``STRIDE`` bits apart, so an event has len(LEVELS) keys instead of one per bit. Events are spread over
-SALTS parts of their entity, and intervals copied to each, before the nodes are spelt out: the exploded keys never
-cross the network, and an entity with a third of all events is no hot partition.
+Levels are ``STRIDE`` bits apart, so an event has len(LEVELS) keys instead of one per bit. The events of an entity
+with more than HOT of them are spread over parts, and its intervals copied to each, before the nodes are spelt out: the
+exploded keys never cross the network, and an entity with a third of all events is no hot partition. What a task holds
+of either side is sorted, which spills; intervals are never built into a hash table.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heronry.session import LAID_OUT, tune
+from heronry.session import LAID_OUT, materialise, tune
 
 LEAF, STRIDE, TOP = 40, 3, 55
 LEVELS = tuple(range(LEAF, TOP, STRIDE))
@@ -26,7 +27,10 @@ ORIGIN = 1 << 53
 FOREVER = (1 << 63) - 1
 #: Keeps the row of an event that no interval holds.
 NO_NODE = -1
-SALTS = 8
+#: Events of an entity in one part, about; an entity with more has as many parts as it takes.
+HOT = 100_000
+#: Parts of the events without an entity, which meet nothing.
+LOST = 64
 
 
 def _leaf(us: Column) -> Column:
@@ -86,7 +90,7 @@ def validity(revisions: DataFrame, entity: str, at: str, attribute: str) -> Data
     )
 
 
-def as_of_join(events: DataFrame, intervals: DataFrame, entity: str, at: str, keys: list[str], salts: int = SALTS) -> DataFrame:
+def as_of_join(events: DataFrame, intervals: DataFrame, entity: str, at: str, keys: list[str], hot: int = HOT) -> DataFrame:
     """The attribute in force for each event: ``keys``, entity, instant and ``attribute`` (null if none was).
 
     ``events`` holds distinct rows of keys, entity and instant. An event on a boundary belongs to the interval that
@@ -96,21 +100,30 @@ def as_of_join(events: DataFrame, intervals: DataFrame, entity: str, at: str, ke
     names = [*keys, entity, at]
     # Both sides are laid out by (entity, part) on purpose, and the planner is to take that for the join on (entity, part, node) too.
     tune(tune(events.sparkSession), LAID_OUT)
+    # Read twice: how many an entity has is counted before they are laid out.
+    events = materialise(events.select(*[f"`{n}`" for n in names]))
     # Own names inside, so that columns of the events may be called anything.
     left = events.select(F.col(f"`{entity}`").alias("_e"), F.col(f"`{at}`").alias("_at"), *[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)])
     own = [f"_k{i}" for i in range(len(keys))]
-    left = left.withColumn("_salt", F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int")).repartition("_e", "_salt")
+    # A row per ``hot`` events at most; ordinary entities have one part and their intervals one copy.
+    parts = left.filter("_e is not null").groupBy(F.col("_e").alias("_h")).agg(F.ceil(F.count("*") / hot).alias("_parts")).filter("_parts > 1")
+    n_parts = F.coalesce("_parts", F.lit(1))
+    # As many partitions as the session asks for: merged to the size of what is shuffled, they would hold many times that once nodes are spelt out.
+    wide = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = left.join(F.broadcast(parts), F.col("_e") == F.col("_h"), "left")
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(*own), F.when(F.col("_e").isNull(), LOST).otherwise(n_parts)).cast("int")).drop("_h", "_parts").repartition(wide, "_e", "_salt")
     left = left.withColumn("_node", F.explode(F.concat(F.array(F.lit(NO_NODE)), enclosing_nodes(F.col("_at")))))
     right = (
-        intervals.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        .repartition("entity", "_salt_r")
+        intervals.join(F.broadcast(parts), F.col("entity") == F.col("_h"), "left")
+        .withColumn("_salt_r", F.explode(F.sequence(F.lit(0), n_parts.cast("int") - 1)))
+        .repartition(wide, "entity", "_salt_r")
         .select(
             F.col("entity").alias("_e_r"), "_salt_r", F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"), F.col("attribute").alias("_a"),
             F.explode(covering_nodes(F.col("valid_from"), F.col("valid_to"))).alias("_node_r"),
         )
     )
     same = (F.col("_e") == F.col("_e_r")) & (F.col("_salt") == F.col("_salt_r")) & (F.col("_node") == F.col("_node_r"))
-    met = left.join(right.hint("shuffle_hash"), same, "left")
+    met = left.join(right.hint("merge"), same, "left")
     inside = (F.col("_from") <= F.col("_at")) & (F.col("_at") < F.col("_to"))
     # Latest start, then largest attribute, in two steps whose buffers have fixed widths (where the attribute's has), so that they hash.
     event = ["_e", "_salt", *own, "_at"]

@@ -57,3 +57,16 @@ def test_nodes_cover_exactly_once(spark):
     for r in df.select("*", T.covering_nodes(df.s, df.e).alias("c"), T.enclosing_nodes(df.p).alias("n")).collect():
         assert len(set(r.c)) == len(r.c) <= 2 * 7 * len(T.LEVELS)
         assert len(set(r.c) & set(r.n)) == (1 if r.s <= r.p < r.e else 0)
+
+
+def test_hot_entities_are_spread_and_nothing_is_hashed_whole(spark):
+    """An entity with more events than a part holds is spread; intervals are sorted, and partitions not merged before nodes are spelt out."""
+    rng = random.Random(6)
+    revs = [("hot", rng.randrange(0, 30000) * DAY, n) for n in range(80)] + [("cold", 5 * DAY, 1)]
+    events = [(n, "hot" if n % 9 else rng.choice(["cold", "none", None]), rng.randrange(-10, 31000) * DAY) for n in range(500)]
+    r, ev = spark.createDataFrame(revs, "e string, t bigint, rev int"), spark.createDataFrame(events, "k bigint, e string, at bigint")
+    out = T.as_of_join(ev, T.validity(r, "e", "t", "rev"), "e", "at", ["k"], hot=50)
+    got = {x.k: x.attribute for x in out.collect()}
+    assert got == {k: brute(revs, e, at) for k, e, at in events}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" not in plan and plan.count("REPARTITION_BY_NUM") >= 2
