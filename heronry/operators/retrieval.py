@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from heronry.functions.text import tokens
 from heronry.operators.relational import top_k
+from heronry.session import materialise
 
 K1, B, RRF_K = 1.5, 0.75, 60
+#: Documents of a part, about, and queries whose terms a task has at a time.
+DOCS, BLOCK = 2000, 500
 
 
 def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -37,15 +40,38 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query", F.explode(F.array_distinct(tokens("text"))).alias("term"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query, doc, score) of all documents that share a term with the query; ties are left to the ranking.
+def scored_pairs(queries: DataFrame, docs: DataFrame, of_doc: tuple[str, ...] = (), of_query: tuple[str, ...] = ()) -> DataFrame:
+    """(part, doc, query, score) of all documents that share a term with a query, with columns of either; ``doc`` is unique.
 
-    The corpus is cut to the queries' terms before its postings are counted, and what a document scores is summed
-    within the task that holds its postings before the shuffle.
+    Texts are laid out in parts of about DOCS documents. Postings, the join with the queries' terms and the sums of scores
+    stay in the task that has the part, so postings and pairs are neither shuffled nor written. The terms of BLOCK queries
+    at a time go to every task; a task holds the sums of BLOCK queries and the documents of its part.
     """
-    q = query_terms(queries)
-    w = weights(docs, q.select("term").distinct())
-    return q.join(w, "term").groupBy("query", "doc").agg(F.sum("w").alias("score"))
+    of_doc, of_query = list(of_doc), list(of_query)
+    n_docs, n_blocks = docs.count(), max(1, -(-queries.count() // BLOCK))
+    n_parts = max(1, -(-n_docs // DOCS))
+    size = docs.agg(F.avg(F.greatest(F.size(tokens("text")), F.lit(1))).alias("avg_length"))  # one row
+    df = docs.select(F.explode(F.array_distinct(tokens("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    asked = queries.select("query", *of_query, F.explode(F.array_distinct(tokens("text"))).alias("term"))
+    idf = F.ln(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = materialise(asked.join(df, "term").crossJoin(F.broadcast(size)).select("query", *of_query, "term", idf.alias("idf"), "avg_length"))
+    laid = docs.select(F.pmod(F.xxhash64("doc"), F.lit(n_parts)).alias("part"), "doc", "text", *of_doc).repartition(n_parts, "part")
+    words = laid.select("part", "doc", *of_doc, tokens("text").alias("t"))
+    words = words.select("part", "doc", *of_doc, F.greatest(F.size("t"), F.lit(1)).alias("length"), F.explode("t").alias("term"))
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
+    out = None
+    for b in range(n_blocks):
+        some = asked.filter(F.pmod(F.xxhash64("query"), F.lit(n_blocks)) == b)
+        met = words.join(F.broadcast(some.select("term").distinct()), "term", "left_semi")
+        post = met.groupBy("part", "doc", *of_doc, "length", "term").agg(F.count("*").alias("tf")).join(F.broadcast(some), "term")
+        sums = post.groupBy("part", "doc", *of_doc, "query", *of_query).agg(F.sum(F.col("idf") * tf).alias("score"))
+        out = sums if out is None else out.unionByName(sums)
+    return out
+
+
+def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query, doc, score) of all documents that share a term with the query; ties are left to the ranking."""
+    return scored_pairs(queries, docs).select("query", "doc", "score")
 
 
 def rank_scores(scores: DataFrame, k: int) -> DataFrame:

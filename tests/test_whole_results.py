@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from heronry.operators import graph as G
 from heronry.operators import relational as R
+from heronry.operators import retrieval as S
 from heronry.plans import graph as PG
 from heronry.queries import QUERIES
 
@@ -105,3 +106,24 @@ def test_r13_graph_variants(spark, small):
     assert arms["placed_by", "rrf"] == arms["none", "bm25"]
     old = oracle.connect(small).sql(f"WITH {PG.AA} SELECT 'all' AS variant, anchor, doc, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY round(score, 9) DESC, doc) AS rank FROM aa) WHERE rank <= 5").fetchall()
     assert {(a, k): x for v, a, x, k in old} == {(a, k): x for a, xs in arms["all", "graph"].items() for k, x in xs.items()}
+
+
+@pytest.mark.parametrize("name", ["r03_bm25_joined", "r04_bm25_equivalence", "r08_bm25_per_base_id"])
+def test_scores_stay_where_their_document_is(spark, small, name):
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    # One layout of the texts by number of parts; no join that shuffles postings by term.
+    assert "REPARTITION_BY_NUM" in plan and "SortMergeJoin [term" not in plan
+
+
+def test_scores_in_many_parts_and_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choices("abcdefghij", k=n))
+    docs = spark.createDataFrame([(i, text(rng.randint(0, 9)) or None, f"p{i % 4}") for i in range(60)], "doc bigint, text string, paper_id string")
+    q = spark.createDataFrame([(i, text(3), i * 2) for i in range(9)], "query bigint, text string, w int")
+    key = lambda df: sorted((r.query, r.doc, round(r.score, 9)) for r in df.collect())
+    want = key(S.query_terms(q).join(S.weights(docs), "term").groupBy("query", "doc").agg(F.sum("w").alias("score")))
+    monkeypatch.setattr(S, "DOCS", 7)
+    monkeypatch.setattr(S, "BLOCK", 2)
+    assert want and key(S.bm25(q, docs)) == want
+    got = S.scored_pairs(q, docs, ("paper_id",), ("w",)).collect()
+    assert len(got) == len(want) and all(r.paper_id == f"p{r.doc % 4}" and r.w == r.query * 2 for r in got)
