@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from heronry.functions.text import base_id
 from heronry.operators.relational import global_rank, top_k
-from heronry.session import materialise
+from heronry.session import discard, materialise, scratch
 
 ONE_HOP_BONUS, PER_NODE_CAP = 2.0, 25
+#: Edges that a task of a rewiring holds, about.
+PART = 250_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -184,47 +186,58 @@ def shuffle_types(edges: DataFrame, seed: int) -> DataFrame:
     return e.join(r, "position").select("src", "dst", "rel")
 
 
-def rewire(edges: DataFrame, seed: int, rounds: int = 10, bucket: int = 2000, share: float = 1.0) -> DataFrame:
+def rewire(edges: DataFrame, seed: int, rounds: int = 10, bucket: int = 2000, share: float = 1.0, part: int = PART) -> DataFrame:
     """Degree-preserving rewiring by double-edge swaps within each relation, many at a time.
 
-    In each round the edges of a relation are dealt to buckets of about ``bucket`` by hash and paired there; a pair
-    swaps its ends. A swap is undone if an end would become a self-loop, or an edge that exists or that another swap
-    makes too. In- and out-degrees per relation hold exactly after every round. With ``share`` below 1 only edges whose
-    hash falls below it take part.
+    In each round the sources of a relation are dealt anew to parts of about ``part`` edges; there, edges are dealt to
+    buckets of about ``bucket`` by hash and paired, and a pair swaps its ends. A swap is undone if an end would become a
+    self-loop, or an edge that exists or that another swap makes too; all edges of a source are in its part, so a round
+    shuffles the edges once. In- and out-degrees per relation hold exactly after every round. With ``share`` below 1 only
+    edges whose hash falls below it take part. Between rounds edges are in a scratch table, which the next one replaces.
     """
-    # Names come from the edges themselves, so that a seed gives the same graph however the input is partitioned.
-    copy = F.row_number().over(Window.partitionBy("src", "dst", "rel").orderBy(F.lit(0)))
-    named = materialise(edges.select("src", "dst", "rel", copy.alias("_c")).select("src", "dst", "rel", F.xxhash64("src", "dst", "rel", "_c").alias("_id")))
-    take = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
-    sizes = named.groupBy("rel").agg(F.greatest(F.lit(1), F.floor(F.count("*") / bucket)).alias("_buckets"))
-    now = named
+    spark = edges.sparkSession
+    # Hashes come from the edges themselves, so that a seed gives the same graph however the input is partitioned; equal edges can stand for each other.
+    take = F.pmod(F.xxhash64("src", "dst", "rel", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    path = scratch(spark, "rewired")
+    edges.select("src", "dst", "rel", take.alias("_take")).write.parquet(path)
+    n_parts = max(1, spark.read.parquet(path).count() // part)
     for r in range(rounds):
-        h = F.xxhash64("_id", F.lit(seed), F.lit(r))
-        w = Window.partitionBy("rel", "_b").orderBy(h, "_id")
-        dealt = now.filter(take).join(sizes, "rel").withColumn("_b", F.pmod(F.xxhash64("_id", F.lit(r), F.lit(seed + 1)), F.col("_buckets")))
-        dealt = dealt.withColumn("_n", F.row_number().over(w)).withColumn("_pair", F.floor((F.col("_n") - 1) / 2))
-        other = F.when(F.col("_n") % 2 == 1, F.lead("dst").over(w)).otherwise(F.lag("dst").over(w))
-        asked = dealt.withColumn("_to", other).filter("_to is not null and _to <> src")
-        free = asked.join(now.select("src", F.col("dst").alias("_to"), "rel").distinct(), ["src", "_to", "rel"], "left_anti")
-        once = F.count("*").over(Window.partitionBy("rel", "src", "_to")) == 1
-        good = free.withColumn("_once", once).filter("_once").groupBy("rel", "_b", "_pair").agg(F.count("*").alias("_k"), F.collect_list(F.struct("_id", "_to")).alias("_s")).filter("_k = 2")
-        moves = good.select(F.inline("_s")).select("_id", "_to")
-        now = materialise(now.join(moves, "_id", "left").select("src", F.coalesce("_to", "dst").alias("dst"), "rel", "_id"))
-    return now.select("src", "dst", "rel")
+        now = spark.read.parquet(path)
+        sizes = now.groupBy("rel").agg(F.count("*").alias("_n")).select(F.col("rel").alias("_r"), "_n", F.greatest(F.lit(1), F.floor(F.col("_n") / part)).alias("_parts"))  # a row per relation
+        sizes = sizes.select("_r", "_parts", F.greatest(F.lit(1), F.floor(F.col("_n") / F.col("_parts") / bucket)).alias("_buckets"))
+        h = F.xxhash64("src", "dst", "rel", F.lit(seed), F.lit(r))
+        dealt = now.join(F.broadcast(sizes), F.col("rel").eqNullSafe(F.col("_r"))).withColumn("_part", F.xxhash64("rel", F.pmod(F.xxhash64("src", F.lit(r), F.lit(seed)), F.col("_parts"))))
+        dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("src", "dst", "rel", F.lit(r), F.lit(seed + 1)), F.col("_buckets"))).select("src", "dst", "rel", "_take", "_part", "_b").repartition(n_parts, "_part")
+        w = Window.partitionBy("_part", "rel", "_take", "_b").orderBy(h, "src", "dst")
+        n = F.row_number().over(w)
+        dealt = dealt.select("*", n.alias("_n"), F.lead("dst").over(w).alias("_next"), F.lag("dst").over(w).alias("_last"))
+        to = F.when(F.col("_n") % 2 == 1, F.col("_next")).otherwise(F.col("_last"))
+        asked = dealt.withColumn("_to", F.when(F.col("_take") & (to != F.col("src")), to)).withColumn("_pair", F.floor((F.col("_n") - 1) / 2)).drop("_n", "_next", "_last")
+        # Every edge as it is, and the one it asks to be: that one must be free and asked for once.
+        both = asked.withColumn("_at", F.explode(F.when(F.col("_to").isNull(), F.array(F.struct(F.lit(False).alias("new"), F.col("dst").alias("end")))).otherwise(F.array(F.struct(F.lit(False).alias("new"), F.col("dst").alias("end")), F.struct(F.lit(True).alias("new"), F.col("_to").alias("end"))))))
+        both = both.withColumn("_new", F.col("_at.new")).withColumn("_end", F.col("_at.end")).drop("_at")
+        alone = F.count("*").over(Window.partitionBy("_part", "rel", "src", "_end")) == 1
+        free = both.withColumn("_good", F.col("_new") & alone).filter("not _new or _good").drop("_end")
+        k = F.count_if(F.col("_good")).over(Window.partitionBy("_part", "rel", "_take", "_b", "_pair"))
+        moved = free.withColumn("_k", k).filter("not _new").select("src", F.when(F.col("_k") == 2, F.col("_to")).otherwise(F.col("dst")).alias("dst"), "rel", "_take")
+        old, path = path, scratch(spark, "rewired")
+        moved.write.parquet(path)
+        discard(spark, old)
+    return spark.read.parquet(path).select("src", "dst", "rel")
 
 
 def sanity(before: DataFrame, after: DataFrame) -> DataFrame:
-    """What a perturbation kept: edges, in- and out-degrees per relation, self-loops, duplicates, share of edges changed."""
-    def by(e: DataFrame, end: str, name: str) -> DataFrame:
-        return e.groupBy(F.col(end).alias("node"), "rel").agg(F.count("*").alias(name))
-
-    off = None
-    for end in ("src", "dst"):
-        d = by(before, end, "x").join(by(after, end, "y"), ["node", "rel"], "full").filter(~F.col("x").eqNullSafe(F.col("y"))).agg(F.count("*").alias(f"{end}_degrees_changed"))
-        off = d if off is None else off.crossJoin(F.broadcast(d))  # one row each
-    count = lambda e, p: e.groupBy("src", "dst", "rel").agg(F.count("*").alias("k")).agg(F.sum("k").alias(p + "edges"), F.sum(F.col("k") - 1).alias(p + "duplicates"), F.count_if(F.col("src") == F.col("dst")).alias(p + "self_loops"))
-    kept = after.distinct().join(before.distinct(), ["src", "dst", "rel"], "left_semi").agg(F.count("*").alias("edges_kept"))
-    return off.crossJoin(F.broadcast(count(before, ""))).crossJoin(F.broadcast(count(after, "new_"))).crossJoin(F.broadcast(kept))
+    """What a perturbation kept: edges, in- and out-degrees per relation, self-loops, duplicates, share of edges changed.
+
+    Either graph is read once for degrees, once for edges, and both are counted side by side.
+    """
+    both = before.select("src", "dst", "rel", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(after.select("src", "dst", "rel", F.lit(0).alias("x"), F.lit(1).alias("y")))
+    sums = [F.sum("x").alias("x"), F.sum("y").alias("y")]
+    ends = both.select("rel", "x", "y", F.inline(F.array(F.struct(F.col("src").alias("node"), F.lit(True).alias("out")), F.struct(F.col("dst").alias("node"), F.lit(False).alias("out")))))
+    off = ends.groupBy("node", "rel", "out").agg(*sums).filter("x <> y").agg(F.count_if("out").alias("src_degrees_changed"), F.count_if(~F.col("out")).alias("dst_degrees_changed"))
+    loop, k = F.col("src") == F.col("dst"), both.groupBy("src", "dst", "rel").agg(*sums)
+    count = lambda n, p: [F.sum(F.when(F.col(n) > 0, F.col(n))).alias(p + "edges"), F.sum(F.when(F.col(n) > 0, F.col(n) - 1)).alias(p + "duplicates"), F.count_if(loop & (F.col(n) > 0)).alias(p + "self_loops")]
+    return off.crossJoin(F.broadcast(k.agg(*count("x", ""), *count("y", "new_"), F.count_if((F.col("x") > 0) & (F.col("y") > 0)).alias("edges_kept"))))  # one row each
 
 
 def topology_hash(edges: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -80,6 +81,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return _SCRATCH[-1]
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a scratch table that nothing reads any more, and lets the driver drop the shuffles that wrote it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _SCRATCH.remove(path)
+    gc.collect()
+    spark._jvm.System.gc()  # else shuffle files stay until the driver happens to collect its garbage
+
+
 def tidy(spark: SparkSession) -> None:
     """Removes the scratch tables of this process; results that still read them must have been used. Runs at the end too."""
     while _SCRATCH:

@@ -127,3 +127,16 @@ def test_scores_in_many_parts_and_blocks(spark, monkeypatch):
     assert want and key(S.bm25(q, docs)) == want
     got = S.scored_pairs(q, docs, ("paper_id",), ("w",)).collect()
     assert len(got) == len(want) and all(r.paper_id == f"p{r.doc % 4}" and r.w == r.query * 2 for r in got)
+
+
+def test_rewiring_in_many_parts(spark):
+    rng = random.Random(8)
+    rows = [(f"a{rng.randint(0, 80)}", f"b{rng.randint(0, 90)}", "r") for _ in range(900)] + [(f"a{i}", f"a{(i * 7 + 1) % 80}", "s") for i in range(80)] + [("a1", "b1", "r")] * 3
+    e = spark.createDataFrame(rows, "src string, dst string, rel string")
+    one, again = G.rewire(e, 5, rounds=4, bucket=20, part=100), G.rewire(e.repartition(7), 5, rounds=4, bucket=20, part=100)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, again.collect()))
+    s = G.sanity(e, one).collect()[0]
+    assert (s.src_degrees_changed, s.dst_degrees_changed, s.edges, s.new_edges, s.new_self_loops) == (0, 0, len(rows), len(rows), 0)
+    assert s.new_duplicates <= s.duplicates == len(rows) - len(set(rows)) and s.edges_kept == len(set(rows) & set(map(tuple, one.collect()))) < 0.5 * len(rows)
+    half = G.sanity(e, G.rewire(e, 6, rounds=2, bucket=20, part=100, share=0.3)).collect()[0]
+    assert half.src_degrees_changed == half.dst_degrees_changed == 0 and 0.5 * len(set(rows)) < half.edges_kept < len(set(rows))
