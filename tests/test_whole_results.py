@@ -140,3 +140,9 @@ def test_rewiring_in_many_parts(spark):
     assert s.new_duplicates <= s.duplicates == len(rows) - len(set(rows)) and s.edges_kept == len(set(rows) & set(map(tuple, one.collect()))) < 0.5 * len(rows)
     half = G.sanity(e, G.rewire(e, 6, rounds=2, bucket=20, part=100, share=0.3)).collect()[0]
     assert half.src_degrees_changed == half.dst_degrees_changed == 0 and 0.5 * len(set(rows)) < half.edges_kept < len(set(rows))
+
+
+def test_q04_builds_no_table_of_intervals(spark, small):
+    got = QUERIES["q04_reverification"](spark, small)
+    assert "ShuffledHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [(0, 0)]
