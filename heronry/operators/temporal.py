@@ -31,6 +31,8 @@ NO_NODE = -1
 HOT = 100_000
 #: Parts of the events without an entity, which meet nothing.
 LOST = 64
+#: Rows of an entity are sorted together within slots of 2^SLOT microseconds (19 hours).
+SLOT = 36
 
 
 def _leaf(us: Column) -> Column:
@@ -131,3 +133,25 @@ def as_of_join(events: DataFrame, intervals: DataFrame, entity: str, at: str, ke
     out = one.groupBy(*event).agg(F.max_by("_a", "_from").alias("_a"))
     renamed = dict(zip(names, [*own, "_e", "_at"], strict=True))
     return out.select(*[F.col(renamed[n]).alias(n) for n in names], F.col("_a").alias("attribute"))
+
+
+def last_known(events: DataFrame, revisions: DataFrame, entity: str, at: str, attribute: str) -> DataFrame:
+    """``events`` with ``last_known``, the attribute of the latest revision not after each (largest, of one instant), without the as-of join.
+
+    For checks of that join: no intervals and no pairs, events and revisions are sorted together within the slots of an
+    entity, and what came before a slot is that of the last slot before it. So neither the rows of one entity are sorted
+    in one task, nor is each of its revisions held against each of its events. Entities and instants are not null.
+    """
+    names = [c for c in events.columns if c not in (entity, at)]
+    slot = F.shiftright(at, SLOT).alias("_slot")
+    # A revision is a struct, so that one whose attribute is null is not taken for none.
+    rev = revisions.select(entity, at, slot, F.struct(F.col(at).alias("at"), F.col(attribute).alias("a")).alias("_rev"))
+    none = F.lit(None)
+    both = rev.select("*", *[none.cast(events.schema[c].dataType).alias(c) for c in names]).unionByName(events.select(entity, at, slot, none.cast(rev.schema["_rev"].dataType).alias("_rev"), *names))
+    # At one instant revisions come before events.
+    within = Window.partitionBy(entity, "_slot").orderBy(at, F.col("_rev").isNull(), "_rev").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("_event", F.col("_rev").isNull()).withColumn("_last", F.last("_rev", ignorenulls=True).over(within)).filter("_event").drop("_rev", "_event")
+    earlier = Window.partitionBy(entity).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = both.groupBy(entity, "_slot").agg(F.max("_rev").alias("_rev"), F.bool_or(F.col("_rev").isNull()).alias("_asked"))
+    slots = slots.withColumn("_before", F.last("_rev", ignorenulls=True).over(earlier)).filter("_asked").select(entity, "_slot", "_before")
+    return inside.join(slots, [entity, "_slot"]).select(*events.columns, F.coalesce("_last", "_before")["a"].alias("last_known"))

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from heronry.operators import temporal as T
 
 DAY = 86_400_000_000
@@ -70,3 +72,31 @@ def test_hot_entities_are_spread_and_nothing_is_hashed_whole(spark):
     assert got == {k: brute(revs, e, at) for k, e, at in events}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" not in plan and plan.count("REPARTITION_BY_NUM") >= 2
+
+
+def test_last_known_without_pairs(spark):
+    """The same as of a search through all revisions, for a hot entity too, of which revisions are not held against events."""
+    rng = random.Random(12)
+    revs = [("hot", rng.randrange(0, 3000) * DAY // 7, n) for n in range(300)] + [("cold", 5 * DAY, 1), ("cold", 5 * DAY, 3), ("blank", DAY, None), ("blank", 9 * DAY, 4)]
+    events = [(n, rng.choice(["hot", "hot", "cold", "blank", "none"]), rng.randrange(-10, 3100) * DAY // 7) for n in range(400)] + [(400, "cold", 5 * DAY), (401, "blank", DAY)]
+    r, ev = spark.createDataFrame(revs, "e string, t bigint, rev int"), spark.createDataFrame(events, "k bigint, e string, t bigint")
+    out = T.last_known(ev, r, "e", "t", "rev")
+    assert {x.k: x.last_known for x in out.collect()} == {k: brute(revs, e, at) for k, e, at in events}
+    keys = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x]
+    assert keys and all("_slot" in x for x in keys)
+
+
+def test_reverification_finds_what_is_wrong(spark, tmp_path, monkeypatch):
+    """q04 pairs no revisions with events, and counts what an as-of join gets wrong."""
+    from heronry.plans import agents
+
+    spark.createDataFrame([(1, "x", "2020-05-01T00:00:00Z", "f"), (2, "x", "2021-05-01T00:00:00Z", "f"), (3, "y", "2021-05-01T00:00:00Z", "f")], "rec_id bigint, source_paper_id string, as_of string, feed string").write.parquet(str(tmp_path / "frozen_ids.parquet"))
+    spark.createDataFrame([("paper:x", 1, "2019-01-01T00:00:00Z", "f"), ("paper:x", 2, "2021-01-01T00:00:00Z", "f")], "obj_id string, revision int, available_at string, feed string").write.parquet(str(tmp_path / "temporal_objects.parquet"))
+    spark.createDataFrame([("f", "UTC", "ymd")], "feed string, tz_name string, date_order string").write.parquet(str(tmp_path / "feeds.parquet"))
+    df = agents.q04_reverification(spark, str(tmp_path))
+    assert [tuple(x) for x in df.collect()] == [(0, 0)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "<=" not in "".join(x for x in plan.split("\n") if "Join" in x and "_node" not in x)
+    wrong = lambda ev, *_: ev.withColumn("attribute", F.when(F.col("rec_id") == 3, 7).when(F.col("rec_id") == 2, 1).otherwise(1))
+    monkeypatch.setattr(T, "as_of_join", wrong)
+    assert [tuple(x) for x in agents.q04_reverification(spark, str(tmp_path)).collect()] == [(1, 2)]
