@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from heronry.functions.text import base_id
 from heronry.operators.relational import global_rank, top_k
-from heronry.session import discard, materialise, scratch
+from heronry.session import discard, materialise, scratch, sweep
 
 ONE_HOP_BONUS, PER_NODE_CAP = 2.0, 25
 #: Edges that a task of a rewiring holds, about.
 PART = 250_000
+#: Edges that are shuffled at a time, about, by a rewiring or its check; a larger graph is done slice by slice, so that shuffle files take the disk of one.
+SLICE = 20_000_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -200,42 +202,68 @@ def rewire(edges: DataFrame, seed: int, rounds: int = 10, bucket: int = 2000, sh
     take = F.pmod(F.xxhash64("src", "dst", "rel", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
     path = scratch(spark, "rewired")
     edges.select("src", "dst", "rel", take.alias("_take")).write.parquet(path)
-    n_parts = max(1, spark.read.parquet(path).count() // part)
+    n = spark.read.parquet(path).count()
+    slices = max(1, n // SLICE)
+    n_parts = max(1, n // part // slices)
     for r in range(rounds):
-        now = spark.read.parquet(path)
+        now, old, path = spark.read.parquet(path), path, scratch(spark, "rewired")
         sizes = now.groupBy("rel").agg(F.count("*").alias("_n")).select(F.col("rel").alias("_r"), "_n", F.greatest(F.lit(1), F.floor(F.col("_n") / part)).alias("_parts"))  # a row per relation
         sizes = sizes.select("_r", "_parts", F.greatest(F.lit(1), F.floor(F.col("_n") / F.col("_parts") / bucket)).alias("_buckets"))
-        h = F.xxhash64("src", "dst", "rel", F.lit(seed), F.lit(r))
-        dealt = now.join(F.broadcast(sizes), F.col("rel").eqNullSafe(F.col("_r"))).withColumn("_part", F.xxhash64("rel", F.pmod(F.xxhash64("src", F.lit(r), F.lit(seed)), F.col("_parts"))))
-        dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("src", "dst", "rel", F.lit(r), F.lit(seed + 1)), F.col("_buckets"))).select("src", "dst", "rel", "_take", "_part", "_b").repartition(n_parts, "_part")
-        w = Window.partitionBy("_part", "rel", "_take", "_b").orderBy(h, "src", "dst")
-        n = F.row_number().over(w)
-        dealt = dealt.select("*", n.alias("_n"), F.lead("dst").over(w).alias("_next"), F.lag("dst").over(w).alias("_last"))
-        to = F.when(F.col("_n") % 2 == 1, F.col("_next")).otherwise(F.col("_last"))
-        asked = dealt.withColumn("_to", F.when(F.col("_take") & (to != F.col("src")), to)).withColumn("_pair", F.floor((F.col("_n") - 1) / 2)).drop("_n", "_next", "_last")
-        # Every edge as it is, and the one it asks to be: that one must be free and asked for once.
-        both = asked.withColumn("_at", F.explode(F.when(F.col("_to").isNull(), F.array(F.struct(F.lit(False).alias("new"), F.col("dst").alias("end")))).otherwise(F.array(F.struct(F.lit(False).alias("new"), F.col("dst").alias("end")), F.struct(F.lit(True).alias("new"), F.col("_to").alias("end"))))))
-        both = both.withColumn("_new", F.col("_at.new")).withColumn("_end", F.col("_at.end")).drop("_at")
-        alone = F.count("*").over(Window.partitionBy("_part", "rel", "src", "_end")) == 1
-        free = both.withColumn("_good", F.col("_new") & alone).filter("not _new or _good").drop("_end")
-        k = F.count_if(F.col("_good")).over(Window.partitionBy("_part", "rel", "_take", "_b", "_pair"))
-        moved = free.withColumn("_k", k).filter("not _new").select("src", F.when(F.col("_k") == 2, F.col("_to")).otherwise(F.col("dst")).alias("dst"), "rel", "_take")
-        old, path = path, scratch(spark, "rewired")
-        moved.write.parquet(path)
+        sizes = sizes if slices == 1 else materialise(sizes)
+        for i in range(slices):
+            _round(now, sizes, seed, r, n_parts, slices, i).write.mode("append").parquet(path)
+            if slices > 1:
+                sweep(spark)
         discard(spark, old)
     return spark.read.parquet(path).select("src", "dst", "rel")
 
 
+def _round(now: DataFrame, sizes: DataFrame, seed: int, r: int, n_parts: int, slices: int, i: int) -> DataFrame:
+    """The edges of the i-th slice of the parts after round r."""
+    # Windows name a hash of their keys first, which decides nearly every comparison of a sort; the keys themselves follow.
+    by = lambda *keys: Window.partitionBy(F.xxhash64(*keys), *keys)
+    h = F.xxhash64("src", "dst", "rel", F.lit(seed), F.lit(r))
+    dealt = now.join(F.broadcast(sizes), F.col("rel").eqNullSafe(F.col("_r"))).withColumn("_part", F.xxhash64("rel", F.pmod(F.xxhash64("src", F.lit(r), F.lit(seed)), F.col("_parts"))))
+    if slices > 1:
+        dealt = dealt.filter(F.pmod("_part", F.lit(slices)) == i)
+    dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("src", "dst", "rel", F.lit(r), F.lit(seed + 1)), F.col("_buckets"))).select("src", "dst", "rel", "_take", "_part", "_b").repartition(n_parts, "_part")
+    w = by("_part", "rel", "_take", "_b").orderBy(h, "src", "dst")
+    n = F.row_number().over(w)
+    dealt = dealt.select("*", n.alias("_n"), F.lead("dst").over(w).alias("_next"), F.lag("dst").over(w).alias("_last"))
+    to = F.when(F.col("_n") % 2 == 1, F.col("_next")).otherwise(F.col("_last"))
+    asked = dealt.withColumn("_to", F.when(F.col("_take") & (to != F.col("src")), to)).withColumn("_pair", F.floor((F.col("_n") - 1) / 2)).drop("_n", "_next", "_last")
+    # Every edge as it is, and the one it asks to be: that one must be free and asked for once.
+    both = asked.withColumn("_at", F.explode(F.when(F.col("_to").isNull(), F.array(F.struct(F.lit(False).alias("new"), F.col("dst").alias("end")))).otherwise(F.array(F.struct(F.lit(False).alias("new"), F.col("dst").alias("end")), F.struct(F.lit(True).alias("new"), F.col("_to").alias("end"))))))
+    both = both.withColumn("_new", F.col("_at.new")).withColumn("_end", F.col("_at.end")).drop("_at")
+    alone = F.count("*").over(by("_part", "rel", "src", "_end")) == 1
+    free = both.withColumn("_good", F.col("_new") & alone).filter("not _new or _good").drop("_end")
+    k = F.count_if(F.col("_good")).over(by("_part", "rel", "_take", "_b", "_pair"))
+    return free.withColumn("_k", k).filter("not _new").select("src", F.when(F.col("_k") == 2, F.col("_to")).otherwise(F.col("dst")).alias("dst"), "rel", "_take")
+
+
 def sanity(before: DataFrame, after: DataFrame) -> DataFrame:
     """What a perturbation kept: edges, in- and out-degrees per relation, self-loops, duplicates, share of edges changed.
 
-    Either graph is read once for degrees, once for edges, and both are counted side by side.
+    Either graph is read once for degrees, once for edges, and both are counted side by side; of large ones, slice by slice of nodes and edges.
     """
+    slices = max(1, 2 * after.count() // SLICE)
+    if slices == 1:
+        return _sanity(before, after, 1, 0)
+    out = None
+    for i in range(slices):
+        one = materialise(_sanity(before, after, slices, i))
+        sweep(before.sparkSession)
+        out = one if out is None else out.unionByName(one)
+    return out.agg(*[F.sum(c).alias(c) for c in out.columns])
+
+
+def _sanity(before: DataFrame, after: DataFrame, slices: int, i: int) -> DataFrame:
+    mine = lambda *keys: F.lit(True) if slices == 1 else F.pmod(F.xxhash64(*keys), F.lit(slices)) == i
     both = before.select("src", "dst", "rel", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(after.select("src", "dst", "rel", F.lit(0).alias("x"), F.lit(1).alias("y")))
     sums = [F.sum("x").alias("x"), F.sum("y").alias("y")]
-    ends = both.select("rel", "x", "y", F.inline(F.array(F.struct(F.col("src").alias("node"), F.lit(True).alias("out")), F.struct(F.col("dst").alias("node"), F.lit(False).alias("out")))))
+    ends = both.select("rel", "x", "y", F.inline(F.array(F.struct(F.col("src").alias("node"), F.lit(True).alias("out")), F.struct(F.col("dst").alias("node"), F.lit(False).alias("out"))))).filter(mine("node"))
     off = ends.groupBy("node", "rel", "out").agg(*sums).filter("x <> y").agg(F.count_if("out").alias("src_degrees_changed"), F.count_if(~F.col("out")).alias("dst_degrees_changed"))
-    loop, k = F.col("src") == F.col("dst"), both.groupBy("src", "dst", "rel").agg(*sums)
+    loop, k = F.col("src") == F.col("dst"), both.filter(mine("src", "dst")).groupBy("src", "dst", "rel").agg(*sums)
     count = lambda n, p: [F.sum(F.when(F.col(n) > 0, F.col(n))).alias(p + "edges"), F.sum(F.when(F.col(n) > 0, F.col(n) - 1)).alias(p + "duplicates"), F.count_if(loop & (F.col(n) > 0)).alias(p + "self_loops")]
     return off.crossJoin(F.broadcast(k.agg(*count("x", ""), *count("y", "new_"), F.count_if((F.col("x") > 0) & (F.col("y") > 0)).alias("edges_kept"))))  # one row each
 

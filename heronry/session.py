@@ -86,8 +86,20 @@ def discard(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     _SCRATCH.remove(path)
+    sweep(spark)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets the driver drop what nothing refers to any more; else shuffle files stay until it happens to collect its garbage."""
     gc.collect()
-    spark._jvm.System.gc()  # else shuffle files stay until the driver happens to collect its garbage
+    spark._jvm.System.gc()
+
+
+def release(df: DataFrame) -> None:
+    """Discards the scratch tables that ``df`` reads; it can't be used any more."""
+    read = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+    for path in [p for p in _SCRATCH if os.path.basename(p) in read]:
+        discard(df.sparkSession, path)
 
 
 def tidy(spark: SparkSession) -> None:

@@ -6,6 +6,7 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
+from heronry import session
 from heronry.operators import graph as G
 from heronry.operators import relational as R
 from heronry.operators import retrieval as S
@@ -142,6 +143,29 @@ def test_rewiring_in_many_parts(spark):
     assert half.src_degrees_changed == half.dst_degrees_changed == 0 and 0.5 * len(set(rows)) < half.edges_kept < len(set(rows))
 
 
+def test_rewiring_in_slices(spark, monkeypatch):
+    """Slices bound what is shuffled at a time and change no row, of the graph or of its check."""
+    rng = random.Random(9)
+    e = spark.createDataFrame([(rng.randint(0, 80), rng.randint(100, 190), i % 2) for i in range(900)], "src bigint, dst bigint, rel int")
+    whole = G.rewire(e, 5, rounds=2, bucket=20, part=100)
+    checked = G.sanity(e, whole).collect()
+    monkeypatch.setattr(G, "SLICE", 300)
+    sliced = G.rewire(e, 5, rounds=2, bucket=20, part=100)
+    assert sorted(map(tuple, sliced.collect())) == sorted(map(tuple, whole.collect()))
+    assert G.sanity(e, sliced).collect() == checked and checked[0].edges_kept < 600
+
+
+def test_g10_keeps_no_graph(spark, small):
+    """The graph of a dose is gone when the next one is made, and none is left at the end."""
+    session.tidy(spark)
+    rows = QUERIES["g10_dose_validation"](spark, small)
+    assert session._SCRATCH == []
+    assert sorted(map(tuple, rows.collect())) == [(10, 0, True), (50, 0, True)]
+    string, number = PG.edges(spark, small), PG.numbered(spark, small)
+    count = lambda df: sorted(r.degree for r in G.degrees(df).collect())
+    assert count(string) == count(number) and string.distinct().count() == number.distinct().count()
+
+
 def test_q04_builds_no_table_of_intervals(spark, small):
     got = QUERIES["q04_reverification"](spark, small)
     assert "ShuffledHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
