@@ -151,19 +151,21 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, max_hops: int, k: int) -> D
     """(a, b, path, hops, rank): the k shortest undirected simple paths of each asked pair, by (hops, path).
 
     Walks set out from either end and meet in the middle, so no walk is longer than half of ``max_hops``; every
-    neighbour is walked to.
+    neighbour is walked to. Of the graph only the edges at nodes where a walk has come to are kept, for both ends at once.
     """
-    adj = materialise(both_ways(edges).select("node", "nbr").distinct())
+    half = both_ways(edges).select("node", "nbr")
     asked = materialise(pairs.select("a", "b").distinct())
-
-    def walks(end: str, most: int) -> list[DataFrame]:
-        out = [asked.select("a", "b", F.array(end).alias("walk"))]
-        for _ in range(most):
-            step = out[-1].withColumn("node", F.element_at("walk", -1)).join(adj, "node").filter(~F.array_contains("walk", F.col("nbr")))
-            out.append(materialise(step.select("a", "b", F.concat("walk", F.array("nbr")).alias("walk"))))
-        return out
-
-    there, back = walks("a", (max_hops + 1) // 2), walks("b", max_hops // 2)
+    there, back = ([asked.select("a", "b", F.array(end).alias("walk"))] for end in ("a", "b"))
+    last = F.element_at("walk", -1)
+    for i in range((max_hops + 1) // 2):
+        sides = [side for side, most in ((there, (max_hops + 1) // 2), (back, max_hops // 2)) if i < most]
+        front = sides[0][-1].select(last.alias("node"))
+        for side in sides[1:]:
+            front = front.unionByName(side[-1].select(last.alias("node")))
+        adj = materialise(half.join(front.distinct(), "node", "left_semi").distinct())
+        for side in sides:
+            step = side[-1].withColumn("node", last).join(adj, "node").filter(~F.array_contains("walk", F.col("nbr")))
+            side.append(materialise(step.select("a", "b", F.concat("walk", F.array("nbr")).alias("walk"))))
     found = None
     for hops in range(1, max_hops + 1):
         x = there[(hops + 1) // 2].select("a", "b", F.element_at("walk", -1).alias("mid"), F.col("walk").alias("x"))

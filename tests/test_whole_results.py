@@ -52,6 +52,16 @@ def test_g21_paths(spark, small):
     assert want and sorted((r.a, r.b, r.hops, r.path) for r in QUERIES["g21_paths"](spark, small).collect()) == sorted(want)
 
 
+def test_paths_keep_only_edges_where_walks_come(spark, monkeypatch):
+    """What is written is bound by the walks of the asked pairs, not by the graph."""
+    edges = [("p:1", "o:1"), ("p:2", "o:1"), ("p:2", "o:2"), ("p:3", "o:2")] + [(f"x:{i}", f"y:{i % 50}") for i in range(2000)]
+    written, real = [], G.materialise
+    monkeypatch.setattr(G, "materialise", lambda df: written.append(real(df)) or written[-1])
+    got = G.simple_paths(spark.createDataFrame([(x, y, "r") for x, y in edges], "src string, dst string, rel string"), spark.createDataFrame([("p:1", "p:3")], "a string, b string"), 4, 5)
+    assert [tuple(r) for r in got.collect()] == [("p:1", "p:3", "p:1>o:1>p:2>o:2>p:3", 4, 1)]
+    assert max(df.count() for df in written) < 10
+
+
 def test_j12_nearest_by_gap(spark, small):
     sql = "WITH p AS (SELECT a.s_suppkey AS anchor, c.s_suppkey AS near, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY abs(round(c.s_acctbal - a.s_acctbal, 6)), c.s_suppkey) AS rank FROM supplier a JOIN supplier c ON c.s_suppkey <> a.s_suppkey) SELECT anchor, near, CAST(rank AS INT) AS rank FROM p WHERE rank <= 3"
     agrees(spark, small, "j12_nearest_by_gap", sql)
