@@ -119,6 +119,24 @@ def test_r13_graph_variants(spark, small):
     assert {(a, k): x for v, a, x, k in old} == {(a, k): x for a, xs in arms["all", "graph"].items() for k, x in xs.items()}
 
 
+def test_r13_shuffled_types_expand_alike(spark, small):
+    """The arms of a graph with relations dealt anew are those of expanding it, though it is expanded once with the others."""
+    e, a = PG.edges(spark, small), PG._anchors(spark, small)
+    key = lambda df: sorted((r.anchor, r["rank"], r.doc) for r in df.collect())
+    assert key(G.adamic_adar(G.shuffle_types(e, 5), a, "p:", 5)) == key(G.adamic_adar(e, a, "p:", 5)) == key(G.adamic_adar(G.untyped(e), a, "p:", 5))
+
+
+def test_fusion_needs_few_of_all_scores(spark):
+    rng = random.Random(13)
+    scores = [(q, f"d{i:03}", rng.choice([0.0, 0.5, round(rng.random(), 2), rng.random()])) for q in range(4) for i in range(300 if q else 1)]
+    scored = R.top_k(spark.createDataFrame(scores, "query int, doc string, score double").withColumn("_s", -F.round("score", 9)), ["query"], 1 << 30, "_s", "doc").drop("_s")
+    ranking = spark.createDataFrame([(q, f"d{i:03}", r + 1) for q in (0, 1, 2, 9) for r, i in enumerate(rng.sample(range(330), 8))], "query int, doc string, rank int")
+    key = lambda df: sorted((r.query, r["rank"], r.doc, r.score) for r in df.collect())
+    some = S.fusible(ranking, scored, 10)
+    assert key(S.normalised_fusion(ranking, some, 10)) == key(S.normalised_fusion(ranking, scored, 10))
+    assert key(some.filter("rank <= 10")) == key(scored.filter("rank <= 10")) and some.count() < 200 < scored.count()
+
+
 @pytest.mark.parametrize("name", ["r03_bm25_joined", "r04_bm25_equivalence", "r08_bm25_per_base_id"])
 def test_scores_stay_where_their_document_is(spark, small, name):
     plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
