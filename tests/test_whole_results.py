@@ -126,6 +126,11 @@ def test_r13_shuffled_types_expand_alike(spark, small):
     assert key(G.adamic_adar(G.shuffle_types(e, 5), a, "p:", 5)) == key(G.adamic_adar(e, a, "p:", 5)) == key(G.adamic_adar(G.untyped(e), a, "p:", 5))
 
 
+def test_numbers_are_named_again(spark, small):
+    key = lambda df: sorted(map(tuple, df.select("src", "dst", "rel").collect()))
+    assert key(PG.named(PG.numbered(spark, small))) == key(PG.edges(spark, small))
+
+
 def test_fusion_needs_few_of_all_scores(spark):
     rng = random.Random(13)
     scores = [(q, f"d{i:03}", rng.choice([0.0, 0.5, round(rng.random(), 2), rng.random()])) for q in range(4) for i in range(300 if q else 1)]
